@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import BLANKS, let, lower_ascii
+from loomline.llm.common import let
 
 #: Common short words of the four languages; a text in another script has none, which the table allows.
 STOP_WORDS = tuple(
@@ -42,15 +42,12 @@ RULES = (
     Rule("duplicate_line_share", "n_dup_lines", "n_lines", high=0.5),
 )
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
+#: Words as the contract cuts them, and plain words: runs of digits, letters and characters beyond ASCII.
+WORD, PLAIN = r"[^\x20\x09-\x0D]+", r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
-def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
-
-
-def _without(text: Column, letters: str) -> Column:
-    """Number of code points of text that are among letters."""
-    return (F.length(text) - F.length(F.translate(text, letters, ""))).cast("long")
+def words_of(text: Column, pattern: str = WORD) -> Column:
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
 def _repeat_words(words: Column) -> Column:
@@ -63,23 +60,23 @@ def _repeat_words(words: Column) -> Column:
 
     def windows(w: Column) -> Column:
         bits = F.ceil(F.log2(F.size(w) + F.lit(1))).cast("int")
-        keep = F.call_function("shiftleft", F.lit(-1).cast("long"), bits)
-        packed = F.transform(
-            F.sequence(F.lit(0), F.size(w) - 3),
-            lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).bitwiseAND(keep).bitwiseOR(i.cast("long")),
-        )
-        return let(F.struct(F.sort_array(packed).alias("s"), keep.alias("k")), lambda x: _covered(w, x["s"], x["k"]))
+        return let(F.call_function("shiftleft", F.lit(-1).cast("long"), bits), lambda keep: let(packed(w, keep), lambda s: _covered(w, s, keep)))
 
-    return F.when(F.size(words) < 4, F.lit(0)).otherwise(let(words, windows)).cast("long")
+    def packed(w: Column, keep: Column) -> Column:
+        places = F.sequence(F.lit(0).cast("long"), (F.size(w) - 3).cast("long"))
+        window = lambda at, i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).bitwiseAND(keep).bitwiseOR(at)
+        return F.sort_array(F.transform(places, window))
+
+    return F.when(F.size(words) < 4, F.lit(0)).otherwise(let(words, windows))
 
 
 def _covered(w: Column, s: Column, keep: Column) -> Column:
-    low = keep.bitwiseXOR(F.lit(-1).cast("long"))
+    low, none = keep.bitwiseXOR(F.lit(-1).cast("long")), F.lit(0).cast("long")
 
     def same(x: Column, y: Column) -> Column:
         a, b = x.bitwiseAND(low).cast("int"), y.bitwiseAND(low).cast("int")
         alike = (F.get(w, a) == F.get(w, b)) & (F.get(w, a + 1) == F.get(w, b + 1)) & (F.get(w, a + 2) == F.get(w, b + 2))
-        return F.coalesce(x.bitwiseAND(keep) == y.bitwiseAND(keep), F.lit(False)) & alike
+        return (x.bitwiseXOR(y).bitwiseAND(keep) == none) & alike
 
     twice = F.filter(s, lambda x, i: same(x, F.get(s, i - 1)) | same(x, F.get(s, i + 1)))
     starts = F.sort_array(F.transform(twice, lambda x: x.bitwiseAND(low)))
@@ -92,22 +89,27 @@ def _covered(w: Column, s: Column, keep: Column) -> Column:
     )
 
 
-def counts(text: Column) -> dict[str, Column]:
-    """The counts that rules may name, as columns of one projection."""
+def counts(text: Column) -> Column:
+    """A struct of the counts that rules may name; words, plain words and lines are cut once."""
     text = F.coalesce(text, F.lit(""))
-    words, lines = words_of(text), F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, BLANKS, "")) > 0)
-    plain = F.filter(words_of(F.regexp_replace(lower_ascii(text), r"[^a-z\x80-\x{10FFFF}\x20\x09-\x0D]", "")), lambda x: F.length(x) > 0)
-    return {
-        "n_words": F.size(words).cast("long"),
-        "word_chars": (F.length(text) - _without(text, BLANKS)).cast("long"),
-        "n_symbols": _without(text, "#*$%&|<>"),
-        "n_exclamations": _without(text, "!"),
-        "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
-        "n_lines": F.size(lines).cast("long"),
-        "n_repeat_words": _repeat_words(words),
-        "n_plain_words": F.size(plain).cast("long"),
-        "n_stop_words": F.size(F.filter(plain, lambda x: x.isin(*STOP_WORDS))).cast("long"),
-    }
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
+    cut = F.struct(words_of(text).alias("words"), words_of(F.lower(text), PLAIN).alias("plain"), lines.alias("lines"))
+
+    def count(c: Column) -> Column:
+        found = {
+            "n_words": F.size(c["words"]),
+            "word_chars": F.length(F.array_join(c["words"], "")),
+            "n_symbols": F.regexp_count(text, F.lit(r"[#*$%&|<>]")),
+            "n_exclamations": F.length(text) - F.length(F.replace(text, F.lit("!"), F.lit(""))),
+            "n_dup_lines": F.size(c["lines"]) - F.size(F.array_distinct(c["lines"])),
+            "n_lines": F.size(c["lines"]),
+            "n_repeat_words": _repeat_words(c["words"]),
+            "n_plain_words": F.size(c["plain"]),
+            "n_stop_words": F.size(F.filter(c["plain"], lambda x: x.isin(*STOP_WORDS))),
+        }
+        return F.struct(*(v.cast("long").alias(k) for k, v in found.items()))
+
+    return let(cut, count)
 
 
 def _passes(rule: Rule, count) -> Column:
@@ -127,7 +129,7 @@ def _base_failed(count) -> Column:
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """One row for each row of docs: the id, the counts, base_failed, the names of failed rules and kept."""
-    measured = docs.select(F.col(id_col).alias("doc_id"), *(c.alias(n) for n, c in counts(F.col(text_col)).items()))
+    measured = docs.select(F.col(id_col).alias("doc_id"), counts(F.col(text_col)).alias("counts")).select("doc_id", "counts.*")
     failed = F.array_compact(F.array(F.lit(None).cast("string"), *(F.when(~_passes(r, F.col), F.lit(r.name)) for r in rules)))
     judged = measured.withColumns({"base_failed": _base_failed(F.col), "failed_rules": failed})
     return judged.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
@@ -135,12 +137,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules
 
 def filter_documents(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows of docs that no rule rejects, with their own columns only."""
-    measured = F.struct(*(c.alias(n) for n, c in counts(F.col(text_col)).items()))
-
     def kept(m: Column) -> Column:
         ok = ~_base_failed(m.getField)
         for rule in rules:
             ok = ok & _passes(rule, m.getField)
         return ok
 
-    return docs.filter(let(measured, kept))
+    return docs.filter(let(counts(F.col(text_col)), kept))

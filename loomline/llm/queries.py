@@ -118,7 +118,7 @@ _OP8 = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
   list_filter(string_split(t, chr(10)), lambda x: length(translate(x, {_BLANKS}, '')) > 0) AS lines,
-  list_filter(regexp_extract_all(regexp_replace({_LOWER.replace("text", "t")}, '[^a-z\x{{80}}-\x{{10FFFF}}\x20\x09-\x0D]', '', 'g'), '[^\x20\x09-\x0D]+'), lambda x: length(x) > 0) AS plain FROM d),
+  regexp_extract_all(lower(t), '{quality_rules.PLAIN}') AS plain FROM d),
 places AS (SELECT doc_id, i, array_to_string(w[i:i + 2], ' ') AS g FROM w, unnest(range(1, len(w) - 1)) AS r(i)),
 twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM places) WHERE n > 1),
 covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM twice, unnest(range(i, i + 3)) AS r(p) GROUP BY doc_id),
