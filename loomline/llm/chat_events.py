@@ -4,8 +4,8 @@ A log holds events (conv_id, seq, turn, kind, role, text). They are folded by co
 
 * ``delta``: its text is appended to the message of its turn;
 * ``edit``: its text replaces what the message of its turn holds so far;
-* ``regenerate``: the message of its turn starts again with its text, and messages of later turns that were written
-  before it are dropped.
+* ``regenerate``: the message of its turn starts again with its text, and what was written before it in later turns is
+  dropped; such a turn may be written again.
 
 A message's role is that of its last event that names one. The template writes one block a message,
 ``### role:`` newline, text, ``</turn>`` newline. Inside roles and texts a backslash becomes ``\\b``, ``#`` becomes ``\\h``
@@ -56,21 +56,19 @@ def reconstruct(events: DataFrame) -> DataFrame:
         ).alias("e"),
     )
     folded = log.groupBy("conv_id", "turn").agg(F.sort_array(F.collect_list("e")).alias("events"))
+    redone = F.array_max(F.filter("events", lambda e: e["kind"] == REGENERATE))
+    before = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    cut = folded.withColumn("_redone", redone).withColumn("_cut", F.max("_redone").over(before))
+    left = cut.select("conv_id", "turn", F.filter("events", lambda e: F.col("_cut").isNull() | (e > F.col("_cut"))).alias("events")).filter(F.size("events") > 0)
     begin = F.array_max(F.transform("events", lambda e, i: F.when(e["kind"].isin(EDIT, REGENERATE), i).otherwise(F.lit(0))))
     live = let(begin, lambda b: F.filter("events", lambda e, i: i >= b))
     named = F.filter("events", lambda e: e["role"].isNotNull())
-    redone = F.array_max(F.transform(F.filter("events", lambda e: e["kind"] == REGENERATE), lambda e: e["seq"]))
-    messages = folded.select(
+    return left.select(
         "conv_id",
         "turn",
         F.coalesce(F.get(named, F.size(named) - 1)["role"], F.lit("")).alias("role"),
         F.array_join(F.transform(live, lambda e: e["text"]), "").alias("text"),
-        F.array_max(F.transform("events", lambda e: e["seq"])).alias("_last"),
-        redone.alias("_redone"),
     )
-    before = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    cut = messages.withColumn("_cut", F.max("_redone").over(before))
-    return cut.filter(F.col("_cut").isNull() | (F.col("_last") > F.col("_cut"))).select("conv_id", "turn", "role", "text")
 
 
 def render(messages: DataFrame, learn: str = "assistant") -> DataFrame:

@@ -9,7 +9,7 @@ Items are broadcast as their windows: if these exceed ``limit`` characters, they
 most that size, each scanned in a stage of its own, so that no task holds more than one.
 
 Nulls and empty texts have no words and no hits; items without words match nothing. Repeated documents are each reported;
-repeated items with one item_id count once. Empty tables on either side give no hits. Extra columns of documents pass
+repeated items with one item_id count once, and those without item_id together as one item that has no name. Empty tables on either side give no hits. Extra columns of documents pass
 through ``clean`` and are not read by ``scan``.
 """
 
@@ -37,6 +37,10 @@ def words(text: bytes) -> list[bytes]:
     return text.translate(_TABLE).split()
 
 
+def _by_id(items) -> list[int | None]:
+    return sorted(items, key=lambda i: (i is None, i or 0))
+
+
 def windows(items: list[tuple[int, bytes]], size: int = WINDOW) -> dict[bytes, list[int]]:
     """The windows of the items, and for each the items that have it."""
     found: dict[bytes, set[int]] = defaultdict(set)
@@ -45,7 +49,7 @@ def windows(items: list[tuple[int, bytes]], size: int = WINDOW) -> dict[bytes, l
         for at in range(max(1, len(own) - size + 1)):
             if own:
                 found[b" " + b" ".join(own[at : at + size]) + b" "].add(item)
-    return {w: sorted(i) for w, i in found.items()}
+    return {w: _by_id(i) for w, i in found.items()}
 
 
 _built: dict[str, ahocorasick.Automaton] = {}
@@ -125,7 +129,7 @@ def _scanner(shared, key: str, text_col: str, first: bool):
                     n, ranges, items = scan_text(text, own)
                     if was:
                         ranges, items = merged([*map(tuple, was["hits"]), *ranges]), {*was["items"], *items}
-                    reports.append({"n_words": n, "hits": [list(r) for r in ranges], "items": sorted(items)})
+                    reports.append({"n_words": n, "hits": [list(r) for r in ranges], "items": _by_id(items)})
                 names = [c for c in part.schema.names if c != "__report"]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(reports, _REPORT)], names=[*names, "__report"])
 

@@ -7,7 +7,8 @@ at most ``sample`` of at most ``sample_bytes`` bytes each (those with the smalle
 hold for training alone); every passage of every text is scored.
 
 Scores read texts only. Nulls and texts without words are one passage of zeros. Labels that are null are left out, and several of
-one document are averaged. Repeated rows are scored each. Without labels every score is 0.5. An empty table gives an empty
+one document are averaged. Repeated rows are scored each; of rows that repeat a labelled doc_id one
+is learned from. Without labels every score is 0.5. An empty table gives an empty
 table. Extra columns are not read.
 """
 
@@ -175,7 +176,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes
     known = labels.filter(F.col("quality").isNotNull() & (remainder(F.col("doc_id"), MODULUS) != HELD_OUT))
     rated = known.groupBy("doc_id").agg(F.avg("quality").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     short = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter(F.octet_length("text") <= sample_bytes)
-    rows = short.join(F.broadcast(rated), "doc_id").select("y", "text").mapInArrow(_encode, "y double, n bigint, x binary").toArrow()
+    once = short.join(F.broadcast(rated), "doc_id").groupBy("doc_id").agg(F.first("y").alias("y"), F.min("text").alias("text"))
+    rows = once.select("y", "text").mapInArrow(_encode, "y double, n bigint, x binary").toArrow()
     sizes = rows.column("n").to_numpy()
     x = np.frombuffer(b"".join(rows.column("x").to_pylist()), np.float32).reshape(-1, FEATURES)
     return AttentionModel().fit(x, sizes, rows.column("y").to_numpy())

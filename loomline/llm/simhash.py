@@ -243,9 +243,13 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of their component; of rows that repeat a doc_id, one."""
+    """The rows of docs whose doc_id is the smallest of their component; of rows that repeat a doc_id, one.
+
+    A row without doc_id can't be named as a copy of another and stays.
+    """
+    unnamed, docs = docs.filter("doc_id is null"), docs.filter("doc_id is not null")
     found = near_duplicates(docs, radius)
     stay = found.filter(F.col("component_id") == F.col("doc_id")).select("doc_id").distinct()
     left = docs.join(stay, "doc_id", "left_semi").select(docs.columns)
     nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    return left.withColumn("__nth", nth).filter("__nth = 1").drop("__nth")
+    return left.withColumn("__nth", nth).filter("__nth = 1").drop("__nth").union(unnamed)
