@@ -1 +1 @@
-"""Loomline: Spark-first sequence analytics, unit selection and corpus preparation."""
+"""Spark-native sequence analytics: segments, runs, interval joins, candidate selection and their sources and sinks."""
