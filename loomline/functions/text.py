@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from loomline.functions.pitch import _c
-from loomline.functions.scores import lookup
 
 # Spelling and phonetics of Mandarin syllables, as the orthography and the phone set define them.
 INITIALS = ("zh", "ch", "sh", "b", "p", "m", "f", "d", "t", "n", "l", "g", "k", "h", "j", "q", "x", "r", "z", "c", "s")
@@ -37,28 +36,52 @@ VOWEL_GROUP = {"ia": "a", "ua": "a", "uai": "ai", "uan": "an", "iang": "ang", "u
 DIGITS = "零一二三四五六七八九"
 
 
+def lookup(key, values: dict, default=None) -> Column:
+    """values[key] from a map literal; default where the key is unknown."""
+    table = F.create_map(*(F.lit(x) for pair in values.items() for x in pair))
+    found = F.try_element_at(table, _c(key))
+    return found if default is None else F.coalesce(found, F.lit(default))
+
+
+def _let(value: Column, body) -> Column:
+    """body(value) with value computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+_WITH_INITIAL = f"^({'|'.join(INITIALS)})(.+)$"
+_NO_INITIAL = [*ZERO_INITIAL, "er", "r"]
+
+
+def _plain(pinyin) -> Column:
+    return F.replace(F.replace(F.lower(_c(pinyin)), F.lit("ü"), F.lit("v")), F.lit("u:"), F.lit("v"))
+
+
 def initial_of(pinyin) -> Column:
     """'' for syllables without initial."""
-    p = F.lower(_c(pinyin))
-    out = F.when(p.isin(*ZERO_INITIAL) | p.isin("er", "r"), F.lit(""))
-    for i in INITIALS:
-        out = out.when(p.startswith(i) & (F.length(p) > len(i)), F.lit(i))
-    return out.otherwise(F.lit(""))
+    p = _plain(pinyin)
+    return F.when(p.isin(_NO_INITIAL), F.lit("")).otherwise(F.regexp_extract(p, _WITH_INITIAL, 1))
 
 
 def final_of(pinyin) -> Column:
     """The phonetic final: zhi has ir, zi has i0, ju has v, liu has iou."""
-    p = F.replace(F.replace(F.lower(_c(pinyin)), F.lit("ü"), F.lit("v")), F.lit("u:"), F.lit("v"))
-    initial = initial_of(p)
-    rest = F.substring(p, F.length(initial) + 1, F.length(p))
-    spoken = (
-        F.when(initial.isin("j", "q", "x") & rest.startswith("u"), F.concat(F.lit("v"), F.substring(rest, F.lit(2), F.length(rest))))
-        .when(initial.isin("zh", "ch", "sh", "r") & (rest == "i"), F.lit("ir"))
-        .when(initial.isin("z", "c", "s") & (rest == "i"), F.lit("i0"))
-        .otherwise(rest)
-    )
-    full = F.when(initial != "", F.coalesce(lookup(spoken, CONTRACTED), spoken)).otherwise(p)
-    return F.coalesce(lookup(p, ZERO_INITIAL), F.when(p.isin("er", "r"), F.lit("er")), full)
+
+    def parts(p: Column) -> Column:
+        return F.struct(p.alias("p"), F.regexp_extract(p, _WITH_INITIAL, 1).alias("i"), F.regexp_extract(p, _WITH_INITIAL, 2).alias("f"))
+
+    def spoken(x: Column) -> Column:
+        i, f = x["i"], x["f"]
+        return (
+            F.when(i.isin("j", "q", "x") & f.startswith("u"), F.regexp_replace(f, "^u", "v"))
+            .when(i.isin("zh", "ch", "sh", "r") & (f == "i"), F.lit("ir"))
+            .when(i.isin("z", "c", "s") & (f == "i"), F.lit("i0"))
+            .otherwise(f)
+        )
+
+    def final(x: Column) -> Column:
+        own = _let(spoken(x), lambda f: F.coalesce(lookup(f, CONTRACTED), f))
+        return F.coalesce(lookup(x["p"], ZERO_INITIAL | {"er": "er", "r": "er"}), F.when(x["i"] != "", own).otherwise(x["p"]))
+
+    return _let(_let(_plain(pinyin), parts), final)
 
 
 def main_vowel_position(final) -> Column:
@@ -75,32 +98,38 @@ def main_vowel_position(final) -> Column:
 
 def vowel_nucleus(final) -> Column:
     """The letter that names a final's vowel: glides go, then the first of a o e i u v that is left, else its first letter."""
+
+    def named(core: Column) -> Column:
+        out = F.when(F.contains(core, F.lit("a")), F.lit("a"))
+        for v in "oeiuv":
+            out = out.when(F.contains(core, F.lit(v)), F.lit(v))
+        return out.otherwise(F.substring(core, 1, 1))
+
     f = _c(final)
-    core = F.coalesce(F.nullif(F.ltrim(f, F.lit("iuv")), F.lit("")), f)
-    out = F.when(F.contains(core, F.lit("a")), F.lit("a"))
-    for v in "oeiuv":
-        out = out.when(F.contains(core, F.lit(v)), F.lit(v))
-    return out.otherwise(F.substring(core, 1, 1))
+    return _let(F.coalesce(F.nullif(F.ltrim(f, F.lit("iuv")), F.lit("")), f), named)
 
 
 def vowel_group(pinyin) -> Column:
-    f = final_of(pinyin)
-    return F.coalesce(lookup(f, VOWEL_GROUP), F.when(f.isin(*FINAL_PHONES), f))
+    return lookup(final_of(pinyin), {f: f for f in FINAL_PHONES} | VOWEL_GROUP)
 
 
 def consonant_group(pinyin) -> Column:
     """Group of what a syllable begins with; glides after m n l h s sh j q x count, and bare vowels share 'ou'."""
-    p, i, f = F.lower(_c(pinyin)), initial_of(pinyin), final_of(pinyin)
-    return (
-        F.when(i.isin("m", "n", "l") & f.startswith("i"), F.concat(i, F.lit("y")))
-        .when(i.isin("j", "q", "x"), F.concat(i, F.when(f.startswith("v"), F.lit("w")).otherwise(F.lit("y"))))
-        .when(i.isin("h", "s", "sh") & f.startswith("u"), F.concat(i, F.lit("w")))
-        .when(i != "", i)
-        .when(p.startswith("yu") | (p == "yun"), F.when(p.startswith("yo"), F.lit("y")).otherwise(F.lit("v")))
-        .when(p.startswith("y"), F.lit("y"))
-        .when(p.startswith("w"), F.lit("w"))
-        .otherwise(F.lit("ou"))
-    )
+
+    def group(x: Column) -> Column:
+        p, i, f = x["p"], x["i"], x["f"]
+        return (
+            F.when(i.isin("m", "n", "l") & f.startswith("i"), F.concat(i, F.lit("y")))
+            .when(i.isin("j", "q", "x"), F.concat(i, F.when(f.startswith("v"), F.lit("w")).otherwise(F.lit("y"))))
+            .when(i.isin("h", "s", "sh") & f.startswith("u"), F.concat(i, F.lit("w")))
+            .when(i != "", i)
+            .when(p.startswith("yu"), F.lit("v"))
+            .when(p.startswith("y"), F.lit("y"))
+            .when(p.startswith("w"), F.lit("w"))
+            .otherwise(F.lit("ou"))
+        )
+
+    return _let(F.struct(_plain(pinyin).alias("p"), initial_of(pinyin).alias("i"), final_of(pinyin).alias("f")), group)
 
 
 def voicebank_spelling(pinyin) -> Column:
@@ -147,22 +176,30 @@ def expected_coda(pinyin) -> Column:
 
 def rule_pronunciation(reading) -> Column:
     """Phones of a toned reading by rule; NULL if it isn't one."""
-    t = toned(reading)
-    i, f = initial_of(t["pinyin"]), final_of(t["pinyin"])
-    part = lambda k: lookup(f, {x: p[k] for x, p in FINAL_PHONES.items()})
-    first = F.when((i == "r") & (f == "ir"), F.lit("")).otherwise(F.coalesce(lookup(i, INITIAL_PHONE), F.lit("")))
-    glide = F.when(i.isin("j", "q", "x"), F.lit("")).otherwise(part(0))
-    phones = F.array(first, glide, F.concat(part(1), lookup(t["tone"], CONTOURS)), part(2))
-    return F.when(t.isNotNull() & part(1).isNotNull(), F.array_join(F.filter(phones, lambda x: x != ""), " "))
+
+    def parts(t: Column) -> Column:
+        return F.struct(t["tone"].cast("string").alias("tone"), initial_of(t["pinyin"]).alias("i"), final_of(t["pinyin"]).alias("f"))
+
+    def phones(x: Column) -> Column:
+        part = lambda k: lookup(x["f"], {f: p[k] for f, p in FINAL_PHONES.items()})
+        first = F.when((x["i"] == "r") & (x["f"] == "ir"), F.lit("")).otherwise(lookup(x["i"], INITIAL_PHONE, ""))
+        glide = F.when(x["i"].isin("j", "q", "x"), F.lit("")).otherwise(part(0))
+        own = F.array(first, glide, F.concat(part(1), lookup(x["tone"], {str(t): c for t, c in CONTOURS.items()})), part(2))
+        return F.when(part(1).isNotNull(), F.array_join(F.filter(own, lambda p: p != ""), " "))
+
+    return F.when(_c(reading).rlike("^[a-zv]+[1-5]$"), _let(_let(toned(reading), parts), phones))
 
 
 def phone_signature(phones) -> Column:
     """struct(first, vowel): consonant class of the first phone and vowel class of the toned one."""
-    p = F.split(_c(phones), " ")
-    first = F.when(is_consonant(p[0]), base_phone(p[0])).otherwise(F.lit(""))
-    first = F.coalesce(lookup(first, {"ɲ": "n", "ʎ": "l", "ʔ": ""}), first)
-    vowel = F.substring(base_phone(F.get(F.filter(p, is_toned), F.lit(0))), 1, 1)
-    return F.struct(first.alias("first"), F.coalesce(F.when(vowel.isin("o", "ə", "e"), F.lit("e")).otherwise(vowel), F.lit("")).alias("vowel"))
+
+    def sign(p: Column) -> Column:
+        head = F.when(is_consonant(p[0]), base_phone(p[0])).otherwise(F.lit(""))
+        first = _let(head, lambda h: F.coalesce(lookup(h, {"ɲ": "n", "ʎ": "l", "ʔ": ""}), h))
+        vowel = F.substring(base_phone(F.get(F.filter(p, is_toned), F.lit(0))), 1, 1)
+        return F.struct(first.alias("first"), _let(vowel, lambda v: F.coalesce(F.when(v.isin("o", "ə", "e"), F.lit("e")).otherwise(v), F.lit(""))).alias("vowel"))
+
+    return _let(F.split(_c(phones), " "), sign)
 
 
 def split_phones(phones: Column, syllables: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,29 +16,30 @@ def exact_quantile(df: DataFrame, value: str, q: float, hold: int = 200_000) ->
     distinct values, come together. F.percentile would gather all distinct values of the table in one task.
     """
     rows = df.select(F.col(value).cast("double").alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
-    n, low, high = rows.agg(F.count("*"), F.min("v"), F.max("v")).first()
+    near = F.percentile_approx("v", [max(0.0, q - 1e-3), min(1.0, q + 1e-3)], 10_000)
+    n, distinct, bracket = rows.agg(F.count("*"), F.approx_count_distinct("v"), near).first()
     if not n:
         return None
     rank = q * (n - 1)
-    first, second = math.floor(rank), math.ceil(rank)
-    inside, below = rows, 0
-    while True:
-        counted = inside.groupBy("v").agg(F.count("*").alias("c"))
-        if inside.agg(F.approx_count_distinct("v")).first()[0] <= hold:
-            at, found = below, {}
-            for v, c in sorted((r["v"], r["c"]) for r in counted.collect()):
-                for k in (first, second):
-                    if at <= k < at + c:
-                        found[k] = v
-                at += c
-            return found[first] + (found[second] - found[first]) * (rank - first)
-        share = [max(0.0, min(1.0, (k - below) / max(1, n - 1) + d)) for k, d in ((first, -1e-3), (second, 1e-3))]
-        a, b = inside.agg(F.percentile_approx("v", share, 10_000)).first()[0]
-        less, within = inside.agg(F.count(F.when(F.col("v") < a, 1)), F.count(F.when(F.col("v").between(a, b), 1))).first()
-        if not below + less <= first <= second < below + less + within or within == n:
-            a, b, less, within = low, high, 0, n
-            hold *= 4
-        inside, below, n = inside.filter(F.col("v").between(a, b)), below + less, within
+    first, second, below, inside = math.floor(rank), math.ceil(rank), 0, rows
+    while distinct > hold:
+        a, b = bracket
+        less, within, fewer = inside.agg(F.count(F.when(F.col("v") < a, 1)), F.count(F.when(F.col("v").between(a, b), 1)), F.approx_count_distinct(F.when(F.col("v").between(a, b), F.col("v")))).first()
+        if not below + less <= first <= second < below + less + within:
+            bracket = inside.agg(F.percentile_approx("v", [max(0.0, (first - below) / n - 1e-2), min(1.0, (second - below) / n + 1e-2)], 100_000)).first()[0]
+            if list(bracket) == [a, b]:
+                break  # the sketch gives no better bracket: take what is inside as it is
+            continue
+        inside, below = inside.filter(F.col("v").between(a, b)), below + less
+        if within == n or fewer <= hold:
+            break
+        n, distinct = within, fewer
+        bracket = inside.agg(F.percentile_approx("v", [max(0.0, (first - below) / n - 1e-3), min(1.0, (second - below) / n + 1e-3)], 10_000)).first()[0]
+    counted = inside.groupBy("v").agg(F.count("*").alias("c")).toArrow()
+    order = np.argsort(v := counted.column("v").to_numpy())
+    upto = below + np.cumsum(counted.column("c").to_numpy()[order])
+    low, high = (float(v[order][np.searchsorted(upto, k, side="right")]) for k in (first, second))
+    return low + (high - low) * (rank - first)
 
 
 def index_by(units: DataFrame, keys: list[str], members: list[str], order: list[str]) -> DataFrame:

@@ -71,12 +71,15 @@ def units(spark, d) -> DataFrame:
     )
 
 
-def rated_units(spark, d) -> DataFrame:
-    """Usable units with their quality; the speaker's median is one number."""
-    usable = units(spark, d).filter(~F.col("rejected"))
-    median = aggregates.exact_quantile(usable, "f0", 0.5)
+def rate(rows: DataFrame, everything: DataFrame) -> DataFrame:
+    """Usable units of rows with their quality; the speaker's median over everything is one number."""
+    median = aggregates.exact_quantile(everything.filter(~F.col("rejected")), "f0", 0.5)
     q = scores.unit_quality("fd", "f0_std", "nucleus", "f0", F.lit(median).cast("double"), "energy", "tone", "voiced", F.lit(False))
-    return usable.withColumn("quality", F.round(q, 9))
+    return rows.filter(~F.col("rejected")).withColumn("quality", F.round(q, 9))
+
+
+def rated_units(spark, d) -> DataFrame:
+    return rate(units(spark, d), units(spark, d))
 
 
 # --- units: quality, checks, indexes
@@ -409,25 +412,27 @@ cand AS (SELECT song, k, q.l_orderkey, q.l_linenumber, q.l_partkey, q.l_suppkey,
 ranked AS (SELECT *, row_number() OVER (PARTITION BY song, k ORDER BY cost, l_orderkey, l_linenumber, l_partkey, l_suppkey) AS rank FROM cand)"""
 
 
-def candidates(spark, d) -> DataFrame:
-    """Units of the wanted part for every order, with their target cost; song = customer, k numbers its orders."""
+def candidates(spark, d, chained: bool = True) -> DataFrame:
+    """Units of the wanted part for every order, with their target cost; song = customer, k numbers its orders.
+
+    chained: with each unit's place in its order and the unit after it, from one window before rejected units go.
+    """
     li, orders = table(spark, d, "lineitem"), table(spark, d, "orders")
     first = ranking.best_by(li.withColumn("vowel", F.col("l_quantity") / 60), ["l_orderkey"], F.lit(0), ["l_linenumber", "l_partkey", "l_suppkey"], ["l_partkey", "vowel"])
     k = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
     wanted = orders.join(first.select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_partkey").alias("want"), "vowel"), "o_orderkey")
     wanted = wanted.select(F.col("o_custkey").alias("song"), k.alias("k"), "want", "vowel", (45.0 + F.col("o_totalprice") / 40000.0).alias("pitch"))
-    pos = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
     own = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    name = F.concat_ws("-", *UNIT_KEY)
-    chain = li.select(*UNIT_KEY, pos.alias("pos"), name.alias("unit_id"), F.lead(name).over(own).alias("next_id"))
-    offered = rated_units(spark, d).join(chain, UNIT_KEY)
+    key = F.struct(*UNIT_KEY)
+    place = {"pos": F.row_number().over(own), "unit_id": F.xxhash64(key), "next_id": F.xxhash64(F.lead(key).over(own))} if chained else {}
+    offered = rate(units(spark, d).withColumns(place), units(spark, d))
     cost = scores.target_cost(F.col("pitch") - F.col("f0"), "vowel", "fd", "quality", "tone", F.lit(0), F.lit(0))
     return wanted.join(offered, F.col("want") == F.col("l_partkey")).withColumn("cost", F.round(cost, 6))
 
 
 @query(f"""WITH {_TARGETS} SELECT song, k, l_orderkey, l_linenumber, l_suppkey, rank, cost FROM ranked WHERE rank <= 3""")
 def topk_candidates(spark, d):
-    best = ranking.top_k(candidates(spark, d), ["song", "k"], ["cost", *UNIT_KEY], 3)
+    best = ranking.top_k(candidates(spark, d, chained=False), ["song", "k"], ["cost", *UNIT_KEY], 3)
     return best.select("song", "k", "l_orderkey", "l_linenumber", "l_suppkey", F.col("rank").cast("long").alias("rank"), "cost").withColumn("k", F.col("k").cast("long"))
 
 
@@ -445,7 +450,7 @@ def viterbi_select(spark, d):
     """The cheapest sequence for each song over its pruned lattice; tests hold it against brute force."""
     rank = F.row_number().over(Window.partitionBy("song", "k").orderBy("cost", *UNIT_KEY))
     kept = lattice.with_rescue(candidates(spark, d).withColumn("rank", rank), "song", "k", "l_orderkey", "pos", "rank", 10)
-    ready = kept.select("song", "k", "unit_id", "next_id", F.col("l_suppkey").alias("source"), (F.col("pitch") - F.col("f0")).alias("shift"), "energy", "cost", F.lit(0).alias("tier"), (F.col("k") > 1).alias("joined"), "rank")
+    ready = kept.select("song", "k", "unit_id", F.coalesce("next_id", F.lit(0)).alias("next_id"), F.col("l_suppkey").alias("source"), (F.col("pitch") - F.col("f0")).alias("shift"), "energy", "cost", F.lit(0).alias("tier"), (F.col("k") > 1).alias("joined"), "rank")
     return lattice.select_sequence(ready, "song", "k", ["rank"]).withColumn("total_cost", r6(F.col("total_cost")))
 
 
