@@ -6,7 +6,7 @@ arrays (doc_id, offset, bytes, tokens); a JSON footer with the dictionary's hash
 footer's length as 8 bytes; ``TIDS0001``. One document is read with the footer, the index and one ranged read.
 
 The dictionary is trained on a bounded sample (``samples`` documents of at most ``sample_bytes`` bytes, those with the
-smallest hash of their id): it decides sizes only, never contents. Without enough samples frames have no dictionary.
+smallest hash of their id, looked for among twice as many rows): it decides sizes only, never contents. Without enough samples frames have no dictionary.
 
 Nulls are empty texts and hold the end id alone. Rows that repeat a doc_id are ordered by the hash of their text. An
 empty table gives no shard. Long texts are one frame. A task that runs twice writes two files; only the files that
@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm.common import open_fs, out_batch, rows_of, texts
+from loomline.llm.common import by_hash, open_fs, out_batch, rows_of, texts
 from loomline.llm.tokens import default_path, encoder
 
 MAGIC, LEVEL, END_ID = b"TIDS0001", 3, 2
@@ -45,7 +45,7 @@ class Shard:
 
 def train_dictionary(docs: DataFrame, tokenizer: str, samples: int = 1000, sample_bytes: int = 8192, size: int = 32768) -> bytes:
     """A dictionary from the serialized ids of at most ``samples`` short documents; b'' if they are too few."""
-    short = docs.filter(F.octet_length("text").between(1, sample_bytes)).select("doc_id", "text")
+    short = by_hash(docs, "doc_id", samples).filter(F.octet_length("text").between(1, sample_bytes)).select("doc_id", "text")
     rows = short.orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(samples).collect()
     own = encoder(tokenizer)
     kind = _width(own.vocab_size)
