@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import open_fs, out_batch, rows_of
+from loomline.llm.common import open_fs, out_batch, rows_of, stored
 from loomline.llm.tokens import default_path, encoder
 
 LIMIT = 512
@@ -84,5 +84,6 @@ def count_tokens(
     fresh = misses.repartition("digest").mapInArrow(_counter(path), "digest binary, n_tokens bigint")
     fresh.withColumn("tokenizer", F.lit(version)).write.mode("append").parquet(cache)
     keyed = docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.sha2(content.cast("binary"), 256)).alias("digest"), F.octet_length(content).cast("long").alias("n_bytes"))
-    # left: a digest is always there, and a left join's large partitions can be split when copies share one digest
-    return keyed.join(read_cache(spark, cache, version), "digest", "left").select("doc_id", "n_bytes", "n_tokens")
+    # left, and stored counts: a digest is always there, and between plain exchanges large partitions of a left join can be split
+    # when copies share one digest
+    return keyed.join(stored(read_cache(spark, cache, version), "counts"), "digest", "left").select("doc_id", "n_bytes", "n_tokens")
