@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import out_batch, remainder, text_bytes
+from loomline.llm.common import by_hash, out_batch, remainder, text_bytes
 from loomline.llm.quality_rules import STOP_WORDS
 
 PASSAGE, SAMPLE, SAMPLE_BYTES, SEED = 64, 6000, 1 << 16, 7
@@ -174,7 +174,7 @@ def _encode(batches):
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> AttentionModel:
     """A model from at most ``sample`` labelled documents that are not held out."""
     known = labels.filter(F.col("quality").isNotNull() & (remainder(F.col("doc_id"), MODULUS) != HELD_OUT))
-    rated = known.groupBy("doc_id").agg(F.avg("quality").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    rated = by_hash(known, "doc_id", sample).groupBy("doc_id").agg(F.avg("quality").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     short = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter(F.octet_length("text") <= sample_bytes)
     once = short.join(F.broadcast(rated), "doc_id").groupBy("doc_id").agg(F.first("y").alias("y"), F.min("text").alias("text"))
     rows = once.select("y", "text").mapInArrow(_encode, "y double, n bigint, x binary").toArrow()
