@@ -54,7 +54,8 @@ def events(spark, d) -> DataFrame:
 
 
 UNITS = """u AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag = 'R' AS rejected, l_quantity / 100 AS fd, l_tax * 10 AS f0_std,
-  l_discount * 2.5::DOUBLE AS nucleus, 40.0::DOUBLE + l_extendedprice / 5000.0::DOUBLE AS f0, -5.0::DOUBLE * l_linenumber AS energy, (l_linenumber % 5) + 1 AS tone, 1 - l_tax AS voiced FROM lineitem),
+  l_discount * 2.5::DOUBLE AS nucleus, 40.0::DOUBLE + l_extendedprice / 5000.0::DOUBLE AS f0, -5.0::DOUBLE * l_linenumber AS energy, (l_linenumber % 5) + 1 AS tone, 1 - l_tax AS voiced,
+  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS pos FROM lineitem),
 med AS (SELECT quantile_cont(f0, 0.5) AS m FROM u WHERE NOT rejected)"""
 QUALITY = """0.25::DOUBLE * least(fd, 0.35::DOUBLE) / 0.35::DOUBLE + 0.2::DOUBLE * exp(-coalesce(nullif(f0_std, 0), 2.0::DOUBLE)) + 0.15::DOUBLE * (least(nucleus, 0.25::DOUBLE) / 0.25::DOUBLE)
   + 0.15::DOUBLE * exp(-abs(f0 - m) / 4.0::DOUBLE) + 0.1::DOUBLE * greatest(0.0::DOUBLE, least(1.0::DOUBLE, (energy + 45.0::DOUBLE) / 30.0::DOUBLE))
@@ -405,11 +406,10 @@ def tiered_candidates(spark, d):
 #: A target for each order: the part of its first line is wanted, pitched by the order's price.
 _TARGETS = f"""{RATED}, first AS (SELECT l_orderkey AS o_orderkey, l_partkey AS want, l_quantity / 60 AS vowel FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) = 1),
 tg AS (SELECT o_custkey AS song, o_orderkey, want, vowel, 45.0::DOUBLE + o_totalprice / 40000.0::DOUBLE AS pitch, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS k FROM orders JOIN first USING (o_orderkey)),
-ch AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS pos FROM lineitem),
-cand AS (SELECT song, k, q.l_orderkey, q.l_linenumber, q.l_partkey, q.l_suppkey, pos, round(0.15::DOUBLE * abs(pitch - f0) + 0.15::DOUBLE * greatest(abs(pitch - f0) - 3.0::DOUBLE, 0) * greatest(abs(pitch - f0) - 3.0::DOUBLE, 0)
+cand AS (SELECT song, k, q.l_orderkey, q.l_linenumber, q.l_partkey, q.l_suppkey, q.pos, round(0.15::DOUBLE * abs(pitch - f0) + 0.15::DOUBLE * greatest(abs(pitch - f0) - 3.0::DOUBLE, 0) * greatest(abs(pitch - f0) - 3.0::DOUBLE, 0)
   + 0.6::DOUBLE * greatest(s, 0) * greatest(s, 0) + 0.1::DOUBLE * greatest(-s, 0) + 1.5::DOUBLE * (1.0::DOUBLE - greatest(quality, 0)) + CASE WHEN vowel > 0.5 THEN CASE tone WHEN 3 THEN 0.3 WHEN 5 THEN 0.4 ELSE 0 END ELSE 0 END, 6) AS cost
-  FROM tg JOIN (SELECT * FROM q) q ON q.l_partkey = want JOIN ch USING (l_orderkey, l_linenumber, l_partkey, l_suppkey), LATERAL (SELECT ln(greatest(vowel / greatest(fd, 0.03::DOUBLE), 1e-3::DOUBLE)) AS s)),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY song, k ORDER BY cost, l_orderkey, l_linenumber, l_partkey, l_suppkey) AS rank FROM cand)"""
+  FROM tg JOIN (SELECT * FROM q) q ON q.l_partkey = want , LATERAL (SELECT ln(greatest(vowel / greatest(fd, 0.03::DOUBLE), 1e-3::DOUBLE)) AS s)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY song, k ORDER BY cost, l_orderkey, l_linenumber, l_partkey, l_suppkey, pos) AS rank FROM cand)"""
 
 
 def candidates(spark, d, chained: bool = True) -> DataFrame:
@@ -422,8 +422,8 @@ def candidates(spark, d, chained: bool = True) -> DataFrame:
     k = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
     wanted = orders.join(first.select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_partkey").alias("want"), "vowel"), "o_orderkey")
     wanted = wanted.select(F.col("o_custkey").alias("song"), k.alias("k"), "want", "vowel", (45.0 + F.col("o_totalprice") / 40000.0).alias("pitch"))
-    own = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    key = F.struct(*UNIT_KEY)
+    own = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "f0")
+    key = F.struct(*UNIT_KEY, "f0")
     place = {"pos": F.row_number().over(own), "unit_id": F.xxhash64(key), "next_id": F.xxhash64(F.lead(key).over(own))} if chained else {}
     offered = rate(units(spark, d).withColumns(place), units(spark, d))
     cost = scores.target_cost(F.col("pitch") - F.col("f0"), "vowel", "fd", "quality", "tone", F.lit(0), F.lit(0))
@@ -432,7 +432,7 @@ def candidates(spark, d, chained: bool = True) -> DataFrame:
 
 @query(f"""WITH {_TARGETS} SELECT song, k, l_orderkey, l_linenumber, l_suppkey, rank, cost FROM ranked WHERE rank <= 3""")
 def topk_candidates(spark, d):
-    best = ranking.top_k(candidates(spark, d, chained=False), ["song", "k"], ["cost", *UNIT_KEY], 3)
+    best = ranking.top_k(candidates(spark, d, chained=False), ["song", "k"], ["cost", *UNIT_KEY, "f0"], 3)
     return best.select("song", "k", "l_orderkey", "l_linenumber", "l_suppkey", F.col("rank").cast("long").alias("rank"), "cost").withColumn("k", F.col("k").cast("long"))
 
 
@@ -440,7 +440,7 @@ def topk_candidates(spark, d):
 r AS (SELECT *, max(CASE WHEN rank <= 3 THEN 1 ELSE 0 END) OVER (PARTITION BY song, l_orderkey, k - pos, island ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS kept FROM i)
 SELECT song, k, l_orderkey, l_linenumber, l_suppkey, rank FROM r WHERE kept = 1""")
 def lattice_with_rescue(spark, d):
-    rank = F.row_number().over(Window.partitionBy("song", "k").orderBy("cost", *UNIT_KEY))
+    rank = F.row_number().over(Window.partitionBy("song", "k").orderBy("cost", *UNIT_KEY, "f0"))
     kept = lattice.with_rescue(candidates(spark, d).withColumn("rank", rank), "song", "k", "l_orderkey", "pos", "rank", 3)
     return kept.select("song", F.col("k").cast("long").alias("k"), "l_orderkey", "l_linenumber", "l_suppkey", F.col("rank").cast("long").alias("rank"))
 
@@ -448,7 +448,7 @@ def lattice_with_rescue(spark, d):
 @query()
 def viterbi_select(spark, d):
     """The cheapest sequence for each song over its pruned lattice; tests hold it against brute force."""
-    rank = F.row_number().over(Window.partitionBy("song", "k").orderBy("cost", *UNIT_KEY))
+    rank = F.row_number().over(Window.partitionBy("song", "k").orderBy("cost", *UNIT_KEY, "f0"))
     kept = lattice.with_rescue(candidates(spark, d).withColumn("rank", rank), "song", "k", "l_orderkey", "pos", "rank", 10)
     ready = kept.select("song", "k", "unit_id", F.coalesce("next_id", F.lit(0)).alias("next_id"), F.col("l_suppkey").alias("source"), (F.col("pitch") - F.col("f0")).alias("shift"), "energy", "cost", F.lit(0).alias("tier"), (F.col("k") > 1).alias("joined"), "rank")
     return lattice.select_sequence(ready, "song", "k", ["rank"]).withColumn("total_cost", r6(F.col("total_cost")))
