@@ -8,10 +8,15 @@ word. (Two words share a hash with a chance of about n * n / 2**65 among n disti
 
 **Byte model.** Each byte is eight binary decisions in the tree of its bits. Every decision has context trees of depth 0 to
 ``DEPTH`` over the bytes before; in each context its zeros and ones give a Krichevsky-Trofimov estimate, and context-tree
-weighting mixes the estimates of all depths with the posterior weights that the training counts give. Those counts follow
-from counts of (DEPTH + 1)-byte strings: at most 256**3 numbers, all there is to collect. A byte of value zero stands before
-a text twice and ends it, so scores are probabilities of whole texts. The model is one row of 256 logarithms for each
-context that training has, and one for each last byte for the contexts that it lacks: at most 67 MB.
+weighting mixes the estimates of all depths with the posterior weights that the training counts give. Bytes of value zero stand
+before a text and one ends it, so scores are probabilities of whole texts.
+
+From depth 2 on a context has a node of its own if it is at least one in ``CONTEXTS`` of all training positions (any that
+occurs, in small corpora); what is left of its parent's positions is one more child, a leaf. So a depth has at most CONTEXTS nodes,
+however large the corpus, and every position of every training text is counted: depths up to 2 from counts of three-byte strings
+(at most 256**3 numbers), each further depth by a pass over the stored texts that counts the bytes after its contexts (at most
+CONTEXTS * 256 numbers). The model is a row of 256 logarithms for each node and tables that lead from a context to the next
+longer: at most 16 and 32 MB for each depth.
 
 Nulls are empty texts: one end token. Rows that repeat a doc_id are scored each. Without training documents the
 totals are zero and bytes are uniform. An empty table gives an empty table. Long texts are scored whole. Extra columns
@@ -33,7 +38,7 @@ from pyspark.sql import functions as F
 
 from loomline.llm.common import out_batch, stored, text_bytes
 
-CHUNK, DEPTH, SLICE = 24 << 20, 2, 1 << 22
+CHUNK, DEPTH, CONTEXTS, SLICE = 24 << 20, 5, 1 << 14, 1 << 20
 MODULUS, HELD_OUT = 7, 2
 WORD, TEXTS, STRINGS = 0, 1, 2
 _PARTS = pa.schema([("kind", pa.int8()), ("chunk", pa.int64()), ("h", pa.int64()), ("idx", pa.int32()), ("n", pa.int64()), ("blob", pa.binary())])
@@ -77,13 +82,12 @@ class _Chunks:
         if not self.ids:
             return
         chunk, self.nth = (self.task << 32) | self.nth, self.nth + 1
-        rows, train = [list(map(self.number.__getitem__, t.split())) for t in self.texts], [not held_out(d) for d in self.ids]
-        counts = np.zeros(len(self.number), np.int64)
-        for own, learn in zip(rows, train):
-            if learn and own:
-                counts += np.bincount(own, minlength=len(counts)) if len(own) > len(counts) // 8 else 0
-                if len(own) <= len(counts) // 8:
-                    np.add.at(counts, own, 1)
+        train, learned = [not held_out(d) for d in self.ids], []
+        for text, learn in zip(self.texts, train):  # words are numbered in order of the texts, held out ones too
+            own = np.fromiter(map(self.number.__getitem__, text.split()), np.int64)
+            if learn:
+                learned.append(own)
+        counts = np.bincount(np.concatenate([*learned, np.zeros(0, np.int64)]), minlength=len(self.number))
         digest = xxhash.xxh64_intdigest
         hashes = np.fromiter(map(digest, self.number), np.uint64, len(counts)).view(np.int64)
         for at in range(0, len(counts), 1 << 16):
@@ -98,9 +102,8 @@ class _Chunks:
                 size, to = size + len(learned[to]), to + 1
             keys, begins = strings(learned[at:to])
             keep = np.ones(len(keys), bool)
-            for b in begins[1:]:
-                keep[b - 2 : b] = False
-            np.add.at(self.counts, keys[keep], 1)
+            keep[begins[1:] - 1] = keep[begins[1:] - 2] = False
+            np.add.at(self.counts, keys[keep], np.uint32(1))
             at = to
         ids = np.array([-1 << 63 if d is None else d for d in self.ids], "<i8").tobytes()
         sizes = np.array([len(t) for t in self.texts], "<i8").tobytes()
@@ -163,66 +166,197 @@ def _byte_logs(one: np.ndarray) -> np.ndarray:
     return out
 
 
+def _slices(texts: list[bytes]):
+    at = 0
+    while at < len(texts):
+        to, size = at, 0
+        while to < len(texts) and size < SLICE:
+            size, to = size + len(texts[to]), to + 1
+        yield texts[at:to]
+        at = to
+
+
+class Contexts:
+    """Finds the node of every position's context. Depth by depth a table gives, for a node and one more byte, the longer node.
+
+    keys[d] are the d-byte strings that have nodes, as sorted numbers; the last row of a table is for contexts without node.
+    """
+
+    def __init__(self):
+        self.keys, self.tables = {1: np.arange(256)}, {}
+
+    def extend(self, keys: np.ndarray) -> None:
+        """Nodes of the next depth: strings whose first bytes, and whose last bytes, have nodes of the depth before."""
+        d = len(self.keys) + 1
+        old, keys = self.keys[d - 1], np.sort(keys)
+        has = lambda x: np.isin(x, old, assume_unique=False)
+        keys = keys[has(keys >> 8) & has(keys & ((1 << 8 * (d - 1)) - 1))]
+        table = np.full((len(old) + 1, 256), len(keys), np.int64)
+        table[np.searchsorted(old, keys >> 8), keys & 255] = np.arange(len(keys))
+        self.keys[d], self.tables[d] = keys, table.reshape(-1)
+
+    def data(self, texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of texts, each after ``depth`` zeros and before one; and where each begins."""
+        gap = b"\0" * depth
+        raw = np.frombuffer(gap + (b"\0" + gap).join(texts) + b"\0", np.uint8)
+        return raw, depth + np.cumsum([0, *(len(x) + 1 + depth for x in texts[:-1])])
+
+    def nodes(self, raw: np.ndarray, upto: int):
+        """(depth, node of the context before each position) from depth 1 on; the first positions have none."""
+        last = np.empty(len(raw), np.int64)
+        last[0], last[1:] = 0, raw[:-1]
+        own = last
+        yield 1, own
+        for d in range(2, upto + 1):
+            at = np.empty_like(own)
+            at[0] = len(self.keys[d - 1])
+            np.multiply(own[:-1], 256, out=at[1:])
+            at[0] *= 256
+            at += last
+            own = self.tables[d].take(at)
+            yield d, own
+
+    def counts(self, texts: list[bytes], depth: int) -> np.ndarray:
+        """How often each byte follows each node of a depth."""
+        size = 256 * len(self.keys[depth])
+        total = np.zeros(size, np.int64)
+        for part in _slices(texts):
+            raw, begins = self.data(part, depth)
+            for _, own in self.nodes(raw, depth):
+                pass
+            keep = own < len(self.keys[depth])
+            keep[(begins[:, None] - 1 - np.arange(depth)).reshape(-1)] = False
+            total += np.bincount(own[keep] * 256 + raw[keep], minlength=size)
+        return total
+
+
+def _follow(contexts, depth: int):
+    def follow(batches):
+        own, total = contexts.value, None
+        for batch in batches:
+            for blob in batch.column(0).to_pylist():
+                ids, texts = unpacked(blob)
+                found = own.counts([t for d, t in zip(ids, texts) if not held_out(d)], depth)
+                total = found if total is None else total + found
+        if total is not None:
+            cells = np.flatnonzero(total)
+            for at in range(0, len(cells), 1 << 16):
+                some = cells[at : at + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["h", "n"])
+
+    return follow
+
+
+def unpacked(blob: bytes) -> tuple[list[int | None], list[bytes]]:
+    """doc_ids and texts of a chunk."""
+    data = zstandard.ZstdDecompressor().decompress(blob)
+    n = int.from_bytes(data[:8], "little")
+    ids, sizes = np.frombuffer(data, "<i8", 2 * n, 8).reshape(2, n).tolist()
+    texts, at = [], 8 + 16 * n
+    for size in sizes:
+        texts.append(data[at : at + size])
+        at += size
+    return [None if d == -1 << 63 else d for d in ids], texts
+
+
 class Model:
-    """The mixed predictions: rows (contexts, 256) of log10 probabilities, and the row of each two-byte context."""
-
-    def __init__(self, keys: np.ndarray, counts: np.ndarray):
-        order = np.argsort(keys)
-        keys, counts = keys[order].astype(np.int64), counts[order].astype(float)
-        contexts, place = np.unique(keys >> 8, return_inverse=True)
-        last = contexts & 255
-        first = np.zeros((256, 256))
-        np.add.at(first, (last[place], keys & 255), counts)
-        below = np.zeros((256, 256))  # log weighted probability of all deeper contexts, by last byte and decision
-        for span, block in self._blocks(place, keys, counts, len(contexts)):
-            np.add.at(below, last[span], _log_kt(*_decisions(block)))
-        one1, log_kt1, log_w1 = self._node(first, below)
-        one0, log_kt0, log_w0 = self._node(first.sum(axis=0)[None], log_w1.sum(axis=0)[None])
-        share1, share0 = np.exp(log_kt1 - np.log(2) - log_w1), np.exp(log_kt0 - np.log(2) - log_w0)
-        mix = lambda leaf, at: share0 * one0 + (1 - share0) * (share1[at] * one1[at] + (1 - share1[at]) * leaf)
-        self.rows = np.empty((256 + len(contexts), 256), np.float32)
-        self.rows[:256] = _byte_logs(mix(np.full((256, 256), 0.5), np.arange(256)))
-        for span, block in self._blocks(place, keys, counts, len(contexts)):
-            zeros, ones = _decisions(block)
-            self.rows[256 + span.start : 256 + span.stop] = _byte_logs(mix((ones + 0.5) / (zeros + ones + 1), last[span]))
-        self.row_of = np.arange(1 << 16, dtype=np.int32) & 255
-        self.row_of[contexts] = 256 + np.arange(len(contexts), dtype=np.int32)
-
-    @staticmethod
-    def _blocks(place, keys, counts, n, size: int = 2048):
-        for at in range(0, n, size):
-            to = min(at + size, n)
-            low, high = np.searchsorted(place, (at, to))
-            block = np.zeros((to - at, 256))
-            block[place[low:high] - at, keys[low:high] & 255] = counts[low:high]
-            yield slice(at, to), block
-
-    @staticmethod
-    def _node(counts, below):
-        zeros, ones = _decisions(counts)
-        log_kt = _log_kt(zeros, ones)
-        return (ones + 0.5) / (zeros + ones + 1), log_kt, np.logaddexp(log_kt, below) - np.log(2)
+    """Rows of log10 probabilities of the next byte, one for each node, used where no longer context has a node."""
+
+    def __init__(self, contexts: Contexts, counts: dict[int, np.ndarray]):
+        """counts[d]: (nodes of depth d, 256) for each depth from 0."""
+        self.contexts, self.depth = contexts, max(counts)
+        below, levels = None, {}
+        for d in range(self.depth, -1, -1):  # from the leaves up: what is mixed in each node
+            n = len(counts[d])
+            levels[d] = {k: np.zeros((n, 256)) for k in ("one", "rest", "share")}
+            weighted, inner = np.empty((n, 256)), np.zeros(n, bool)
+            up = self._parents(d + 1) if d < self.depth else np.zeros(0, int)
+            inner[up] = True
+            rest = counts[d].astype(np.int64)
+            if len(up):
+                np.subtract.at(rest, up, counts[d + 1])
+            for at in range(0, n, 2048):
+                s = slice(at, at + 2048)
+                (zeros, ones), (rz, ro) = _decisions(counts[d][s].astype(float)), _decisions(rest[s].astype(float))
+                kt = _log_kt(zeros, ones)
+                deeper = _log_kt(rz, ro) + (below[s] if below is not None else 0.0)
+                w = np.where(inner[s][:, None], np.logaddexp(kt, deeper) - np.log(2), kt)
+                levels[d]["one"][s], levels[d]["rest"][s] = (ones + 0.5) / (zeros + ones + 1), (ro + 0.5) / (rz + ro + 1)
+                levels[d]["share"][s] = np.where(inner[s][:, None], np.exp(kt - np.log(2) - w), 1.0)
+                weighted[s] = w
+            if d:
+                up, below = self._parents(d), np.zeros((len(counts[d - 1]), 256))
+                np.add.at(below, up, weighted)
+        mixed, left = np.zeros((1, 256)), np.ones((1, 256))
+        rows, self.base = [], {}
+        for d in range(self.depth + 1):  # from the root down: what each path gives
+            x = levels[d]
+            if d:
+                up = self._parents(d)
+                mixed, left = mixed[up], left[up]
+            if d:
+                self.base[d] = sum(map(len, rows))
+                rows.append(np.empty((len(x["one"]), 256), np.float32))
+                for at in range(0, len(rows[-1]), 2048):
+                    s = slice(at, at + 2048)
+                    p = mixed[s] + left[s] * (x["share"][s] * x["one"][s] + (1 - x["share"][s]) * x["rest"][s])
+                    rows[-1][s] = _byte_logs(p)
+            mixed = mixed + left * x["share"] * x["one"]
+            left = left * (1 - x["share"])
+            levels[d] = None
+        self.rows = np.concatenate(rows)
+
+    def _parents(self, d: int) -> np.ndarray:
+        """The node that is each node's context without its oldest byte."""
+        if d == 1:
+            return np.zeros(256, int)
+        return np.searchsorted(self.contexts.keys[d - 1], self.contexts.keys[d] & ((1 << 8 * (d - 1)) - 1))
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         """log10 probability of each text with its end."""
-        out, at = [], 0
-        while at < len(texts):
-            to, size = at, 0
-            while to < len(texts) and size < SLICE:
-                size, to = size + len(texts[to]), to + 1
-            part = texts[at:to]
-            keys, begins = strings(part)
-            logs = self.rows[self.row_of[keys >> 8], keys & 255].astype(float)
+        out = []
+        for part in _slices(texts):
+            raw, begins = self.contexts.data(part, self.depth)
+            row = np.zeros(len(raw), np.int32)
+            for d, own in self.contexts.nodes(raw, self.depth):
+                found = own < len(self.contexts.keys[d])
+                row[found] = self.base[d] + own[found]
+            logs = self.rows[row, raw].astype(float)
             edges = np.stack([begins, begins + [len(x) + 1 for x in part]], axis=1).reshape(-1)[:-1]
             out.append(np.add.reduceat(logs, edges)[::2])
-            at = to
         return np.concatenate(out) if out else np.zeros(0)
 
 
-def train(parts: DataFrame) -> Model:
-    """The byte model from the counts of byte strings (at most 256**3 rows) of all tasks."""
+def train(parts: DataFrame, depth: int = DEPTH, limit: int = CONTEXTS) -> Model:
+    """The byte model from the counts of all tasks; one pass over the stored texts for each depth beyond two."""
+    sc = parts.sparkSession.sparkContext
     rows = parts.filter(F.col("kind") == STRINGS).groupBy("h").agg(F.sum("n").alias("n")).toArrow()
-    return Model(rows.column("h").to_numpy(), rows.column("n").to_numpy())
+    keys, n = rows.column("h").to_numpy(), rows.column("n").to_numpy()
+    least = max(1, -(-int(n.sum()) // limit))
+    contexts, first = Contexts(), np.zeros((256, 256), np.int64)
+    np.add.at(first, ((keys >> 8) & 255, keys & 255), n)
+    counts = {0: first.sum(axis=0)[None], 1: first}
+    strings_, place = np.unique(keys >> 8, return_inverse=True)
+    often = np.bincount(place, weights=n, minlength=len(strings_)) >= least
+    contexts.extend(strings_[often])
+    held = often[place]
+    counts[2] = np.zeros((int(often.sum()), 256), np.int64)
+    np.add.at(counts[2], (np.searchsorted(contexts.keys[2], keys[held] >> 8), keys[held] & 255), n[held])
+    blobs = parts.filter(F.col("kind") == TEXTS).select("blob")
+    for d in range(3, depth + 1):
+        node, byte = np.nonzero(counts[d - 1] >= least)
+        contexts.extend((contexts.keys[d - 1][node] << 8) | byte)
+        shared = sc.broadcast(contexts)
+        found = blobs.mapInArrow(_follow(shared, d), "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).toArrow()
+        counts[d] = np.zeros((len(contexts.keys[d]), 256), np.int64)
+        counts[d].reshape(-1)[found.column("h").to_numpy()] = found.column("n").to_numpy()
+        keep = counts[d].sum(axis=1) >= least  # a string that mostly ends texts is seldom a context
+        if not keep.all():
+            kept = contexts.keys.pop(d)[keep]
+            del contexts.tables[d]
+            contexts.extend(kept)
+            counts[d] = counts[d][keep]
+    return Model(contexts, counts)
 
 
 _SCORED = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, n_bytes bigint"
@@ -239,20 +373,12 @@ def _scorer(model, tokens: int, distinct: int, ends: int):
         logs, known = np.log10(counts + 1.0), counts > 0
         out = []
         for blob in chunk.column("blob").to_pylist():
-            data = zstandard.ZstdDecompressor().decompress(blob)
-            n = int.from_bytes(data[:8], "little")
-            ids, sizes = np.frombuffer(data, "<i8", 2 * n, 8).reshape(2, n).tolist()
-            texts, at = [], 8 + 16 * n
-            for size in sizes:
-                texts.append(data[at : at + size])
-                at += size
-            del data
+            ids, texts = unpacked(blob)
             number = defaultdict()
             number.default_factory = number.__len__
             rows = []
-            for doc_id, text in zip(ids, texts):
+            for doc, text in zip(ids, texts):
                 words = np.fromiter(map(number.__getitem__, text.split()), np.int64)
-                doc = None if doc_id == -1 << 63 else doc_id
                 base = logs[words].sum() + np.log10(ends + 1.0) - (len(words) + 1) * np.log10(tokens + distinct + 1.0)
                 rows.append((doc, held_out(doc), len(words) + 1, int(known[words].sum()) + (ends > 0), tokens, base, 0.0, len(text)))
             columns = list(zip(*rows))
@@ -263,7 +389,7 @@ def _scorer(model, tokens: int, distinct: int, ends: int):
     return score
 
 
-def score(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
+def score(docs: DataFrame, chunk: int = CHUNK, depth: int = DEPTH, limit: int = CONTEXTS) -> DataFrame:
     """Scores of each row of docs (doc_id, text), learned from the rows that held_out leaves."""
     spark = docs.sparkSession
     parts = stored(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_gather(chunk), _PARTS_SQL), "lm-parts")
@@ -274,7 +400,7 @@ def score(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     tokens, distinct = totals.filter("first AND c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     chunks = parts.filter(F.col("kind") == TEXTS).select("chunk", "blob", "n")
     ends = chunks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    model = spark.sparkContext.broadcast(train(parts))
+    model = spark.sparkContext.broadcast(train(parts, depth, limit))
     scorer = _scorer(model, tokens + ends, distinct + (ends > 0), ends)
     scored = chunks.select("chunk", "blob").groupBy("chunk").cogroup(totals.select("chunk", "idx", "c").groupBy("chunk")).applyInArrow(scorer, _SCORED)
     bits = F.when(F.col("n_bytes") > 0, -F.col("score") * F.lit(float(np.log2(10))) / F.col("n_bytes"))

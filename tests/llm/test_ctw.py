@@ -133,3 +133,31 @@ def test_held_out_text_codes_better_than_shuffled_bytes(spark, tmp_path):
     rows = [(d, prose(d, 300), *[None] * 7) for d in range(60) if learns(d)] + [(out[0], plain, *[None] * 7), (out[1], mixed, *[None] * 7)]
     bits = {r["doc_id"]: r["bits_per_byte"] for r in run(spark, write_tables(tmp_path, rows, [], [], []), "op10_lm_score")}
     assert bits[out[0]] < 2.5 < bits[out[1]]
+
+
+def test_few_nodes_still_give_probabilities(spark, tmp_path):
+    rows = [(d, prose(d, 60) + ("zq" * 40 if d % 5 == 0 else ""), *[None] * 7) for d in range(40)]
+    docs = spark.read.parquet(write_tables(tmp_path, rows, [], [], []) + "/documents.parquet")
+    parts = docs.select("doc_id", "text").mapInArrow(ctw._gather(3000), ctw._PARTS_SQL).cache()
+    whole, few = ctw.train(parts), ctw.train(parts, limit=40)
+    for model in (whole, few):
+        assert np.allclose((10.0 ** model.rows.astype(float)).sum(axis=1), 1, atol=1e-4) and np.isfinite(model.rows).all()
+    assert all(len(few.contexts.keys[d]) <= 40 for d in range(2, ctw.DEPTH + 1)) and len(few.rows) < len(whole.rows)
+    # with every context a node, and with few, the counts of a depth are those of its positions
+    texts = [lower(t).encode() for d, t, *_ in rows if learns(d)]
+    for model in (whole, few):
+        for d in range(2, ctw.DEPTH + 1):
+            follow, padded = Counter(), [b"\0" * d + t + b"\0" for t in texts]
+            for t in padded:
+                follow.update(t[p - d : p] for p in range(d, len(t)))
+            found = model.contexts.counts(texts, d).reshape(-1, 256).sum(axis=1)
+            assert found.tolist() == [follow[int(k).to_bytes(d, "big")] for k in model.contexts.keys[d]]
+    assert whole.scores(texts).sum() > few.scores(texts).sum()
+
+
+def test_certain_bytes_keep_finite_scores(spark, tmp_path):
+    learned = [d for d in range(200) if learns(d)][:20]
+    out = next(d for d in range(200) if not learns(d))
+    rows = [(d, "a" * 200_000, *[None] * 7) for d in learned] + [(out, "ab" * 50, *[None] * 7)]
+    got = {r["doc_id"]: r["score"] for r in run(spark, write_tables(tmp_path, rows, [], [], []), "op10_lm_score")}
+    assert math.isfinite(got[out]) and got[out] < -100 and got[learned[0]] > -50
