@@ -26,7 +26,8 @@ are not read.
 from __future__ import annotations
 
 import zlib
-from collections import defaultdict
+from array import array
+from collections import defaultdict, deque
 
 import numpy as np
 import pyarrow as pa
@@ -82,12 +83,15 @@ class _Chunks:
         if not self.ids:
             return
         chunk, self.nth = (self.task << 32) | self.nth, self.nth + 1
-        train, learned = [not held_out(d) for d in self.ids], []
+        train, words = [not held_out(d) for d in self.ids], array("i")
         for text, learn in zip(self.texts, train):  # words are numbered in order of the texts, held out ones too
-            own = np.fromiter(map(self.number.__getitem__, text.split()), np.int64)
+            own = map(self.number.__getitem__, text.split())
             if learn:
-                learned.append(own)
-        counts = np.bincount(np.concatenate([*learned, np.zeros(0, np.int64)]), minlength=len(self.number))
+                words.extend(own)
+            else:
+                deque(own, maxlen=0)
+        counts = np.bincount(np.frombuffer(words, np.intc), minlength=len(self.number))
+        del words
         digest = xxhash.xxh64_intdigest
         hashes = np.fromiter(map(digest, self.number), np.uint64, len(counts)).view(np.int64)
         for at in range(0, len(counts), 1 << 16):
