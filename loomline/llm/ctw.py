@@ -16,7 +16,7 @@ occurs, in small corpora); what is left of its parent's positions is one more ch
 however large the corpus, and every position of every training text is counted: depths up to 2 from counts of three-byte strings
 (at most 256**3 numbers), each further depth by a pass over the stored texts that counts the bytes after its contexts (at most
 CONTEXTS * 256 numbers). The model is a row of 256 logarithms for each node and tables that lead from a context to the next
-longer: at most 16 and 32 MB for each depth.
+longer: at most 16 MB of each for each depth.
 
 Nulls are empty texts: one end token. Rows that repeat a doc_id are scored each. Without training documents the
 totals are zero and bytes are uniform. An empty table gives an empty table. Long texts are scored whole. Extra columns
@@ -195,7 +195,7 @@ class Contexts:
         old, keys = self.keys[d - 1], np.sort(keys)
         has = lambda x: np.isin(x, old, assume_unique=False)
         keys = keys[has(keys >> 8) & has(keys & ((1 << 8 * (d - 1)) - 1))]
-        table = np.full((len(old) + 1, 256), len(keys), np.int64)
+        table = np.full((len(old) + 1, 256), len(keys), np.int32)
         table[np.searchsorted(old, keys >> 8), keys & 255] = np.arange(len(keys))
         self.keys[d], self.tables[d] = keys, table.reshape(-1)
 
