@@ -11,12 +11,13 @@ word. (Two words share a hash with a chance of about n * n / 2**65 among n disti
 weighting mixes the estimates of all depths with the posterior weights that the training counts give. Bytes of value zero stand
 before a text and one ends it, so scores are probabilities of whole texts.
 
-From depth 2 on a context has a node of its own if it is at least one in ``CONTEXTS`` of all training positions (any that
-occurs, in small corpora); what is left of its parent's positions is one more child, a leaf. So a depth has at most CONTEXTS nodes,
-however large the corpus, and every position of every training text is counted: depths up to 2 from counts of three-byte strings
-(at most 256**3 numbers), each further depth by a pass over the stored texts that counts the bytes after its contexts (at most
-CONTEXTS * 256 numbers). The model is a row of 256 logarithms for each node and tables that lead from a context to the next
-longer: at most 16 MB of each for each depth.
+Every context that occurs in training has a node, however rare. The counts are a distributed table of strings (a context of DEPTH bytes
+and the byte after it): a chunk yields each of its distinct strings once, held-out ones with a count of zero. Totals are sharded by the two
+bytes nearest to the position; a shard holds whole subtrees from depth 2 on. Only sums for depths 0 and 1 (at most 256 * 255
+numbers each) meet in the driver. A shard then gives the probability of each of its strings, which returns to the chunks
+as the word totals do.
+
+Contexts, Model and train are the same model in one process, with rare contexts merged; tests hold it to its counts and no query uses it.
 
 Nulls are empty texts: one end token. Rows that repeat a doc_id are scored each. Without training documents the
 totals are zero and bytes are uniform. An empty table gives an empty table. Long texts are scored whole. Extra columns
@@ -50,20 +51,26 @@ def held_out(doc_id: int | None) -> bool:
     return zlib.crc32(str(doc_id).encode() if doc_id is not None else b"") % MODULUS == HELD_OUT
 
 
-def strings(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """For each text its bytes and the end: the last three bytes as one number each; and where each text begins."""
-    data = np.frombuffer(b"\0\0" + b"\0\0\0".join(texts) + b"\0", np.uint8).astype(np.uint32)
-    keys = (data[:-2] << 16) | (data[1:-1] << 8) | data[2:]
-    begins = np.cumsum([0, *(len(x) + 3 for x in texts[:-1])])
-    return keys, begins
+def strings(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each text its bytes and the end: each with the depth bytes before as one number; and where each text begins."""
+    gap = b"\0" * depth
+    raw = np.frombuffer(gap + (b"\0" + gap).join(texts) + b"\0", np.uint8)
+    keys = raw[depth:].astype(np.int64)
+    for d in range(1, depth + 1):
+        keys |= raw[depth - d : len(raw) - d].astype(np.int64) << (8 * d)
+    sizes = np.array([len(x) + 1 for x in texts])
+    begins = np.cumsum(sizes) - sizes
+    keep = np.ones(len(keys), bool)
+    keep[((begins[1:] + depth * np.arange(1, len(texts)))[:, None] - 1 - np.arange(depth)).reshape(-1)] = False
+    return keys[keep], begins
 
 
 class _Chunks:
     """What one input task gathers."""
 
-    def __init__(self, size: int):
+    def __init__(self, size: int, depth: int):
         self.size, self.task, self.nth = size, TaskContext.get().partitionId(), 0
-        self.counts = np.zeros(1 << 24, np.uint32)
+        self.depth = depth
         self._clear()
 
     def _clear(self):
@@ -98,41 +105,33 @@ class _Chunks:
             n = min(1 << 16, len(counts) - at)
             span = slice(at, at + n)
             yield out_batch(_PARTS, (np.full(n, WORD, "i1"), np.full(n, chunk), hashes[span], np.arange(at, at + n, dtype="i4"), counts[span], [None] * n))
-        learned = [t for t, learn in zip(self.texts, train) if learn]
-        at = 0
-        while at < len(learned):
-            to, size = at, 0
-            while to < len(learned) and size < SLICE:
-                size, to = size + len(learned[to]), to + 1
-            keys, begins = strings(learned[at:to])
-            keep = np.ones(len(keys), bool)
-            keep[begins[1:] - 1] = keep[begins[1:] - 2] = False
-            np.add.at(self.counts, keys[keep], np.uint32(1))
-            at = to
+        found, often = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for learn in (True, False):
+            for part in _slices([t for t, own in zip(self.texts, train) if own == learn]):
+                keys, n = np.unique(strings(part, self.depth)[0], return_counts=True)
+                found.append(keys)
+                often.append(n if learn else np.zeros_like(n))
+        keys, place = np.unique(np.concatenate(found), return_inverse=True)
+        n = np.bincount(place, np.concatenate(often), len(keys)).astype(np.int64)
+        for at in range(0, len(keys), 1 << 16):
+            some, k = slice(at, at + (1 << 16)), len(keys[at : at + (1 << 16)])
+            yield out_batch(_PARTS, (np.full(k, STRINGS, "i1"), np.full(k, chunk), keys[some], [None] * k, n[some], [None] * k))
         ids = np.array([-1 << 63 if d is None else d for d in self.ids], "<i8").tobytes()
         sizes = np.array([len(t) for t in self.texts], "<i8").tobytes()
         blob = zstandard.ZstdCompressor(level=1).compress(len(self.ids).to_bytes(8, "little") + ids + sizes + b"".join(self.texts))
         yield out_batch(_PARTS, ([TEXTS], [chunk], [None], [None], [sum(train)], [blob]))
         self._clear()
 
-    def close(self):
-        yield from self.flush()
-        keys = np.flatnonzero(self.counts)
-        for at in range(0, len(keys), 1 << 16):
-            own = keys[at : at + (1 << 16)]
-            n = len(own)
-            yield out_batch(_PARTS, (np.full(n, STRINGS, "i1"), [None] * n, own, [None] * n, self.counts[own].astype("i8"), [None] * n))
 
-
-def _gather(size: int):
+def _gather(size: int, depth: int = DEPTH):
     def gather(batches):
-        own = _Chunks(size)
+        own = _Chunks(size, depth)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 for doc_id, text in zip(part.column("doc_id").to_pylist(), text_bytes(part, "text")):
                     yield from own.add(doc_id, text.lower())
-        yield from own.close()
+        yield from own.flush()
 
     return gather
 
@@ -332,9 +331,9 @@ class Model:
 
 
 def train(parts: DataFrame, depth: int = DEPTH, limit: int = CONTEXTS) -> Model:
-    """The byte model from the counts of all tasks; one pass over the stored texts for each depth beyond two."""
+    """The byte model with at most ``limit`` nodes a depth; one pass over the stored texts for each depth beyond two."""
     sc = parts.sparkSession.sparkContext
-    rows = parts.filter(F.col("kind") == STRINGS).groupBy("h").agg(F.sum("n").alias("n")).toArrow()
+    rows = parts.filter((F.col("kind") == STRINGS) & (F.col("n") > 0)).groupBy(F.col("h").bitwiseAND(F.lit((1 << 24) - 1)).alias("h")).agg(F.sum("n").alias("n")).toArrow()
     keys, n = rows.column("h").to_numpy(), rows.column("n").to_numpy()
     least = max(1, -(-int(n.sum()) // limit))
     contexts, first = Contexts(), np.zeros((256, 256), np.int64)
@@ -363,15 +362,95 @@ def train(parts: DataFrame, depth: int = DEPTH, limit: int = CONTEXTS) -> Model:
     return Model(contexts, counts)
 
 
+def _up(ids, zeros, ones, below, depth: int):
+    """What decisions (context << 8 | node of the byte's tree) of one depth, with these counts, sum to in the depth above."""
+    own, place = np.unique(((ids >> 8) & ((1 << 8 * depth) - 1)) << 8 | (ids & 255), return_inverse=True)
+    return own, *(np.bincount(place, x, len(own)) for x in (zeros, ones, below))
+
+
+def _weighted(zeros, ones, below):
+    """The weighted logarithm of decisions, and the share of their own estimate; below is None for leaves."""
+    kt = _log_kt(zeros.astype(float), ones.astype(float))  # np.bincount of nothing gives integers
+    if below is None:
+        return kt, np.ones(len(kt))
+    w = np.logaddexp(kt, below) - np.log(2)
+    return w, np.exp(kt - np.log(2) - w)
+
+
+def _subtrees(keys: np.ndarray, n: np.ndarray, depth: int):
+    """levels[d] = (ids, zeros, ones, share) for depths from 2, and what they sum to in depth 1."""
+    byte, k = keys & 255, np.arange(8)[:, None]
+    ids = ((keys >> 8 << 8) | (1 << k) | (byte >> (8 - k))).reshape(-1)
+    bit, n = ((byte >> (7 - k)) & 1).reshape(-1), np.tile(n, 8)
+    ids, place = np.unique(ids, return_inverse=True)
+    zeros, ones, below = np.bincount(place, n * (1 - bit), len(ids)), np.bincount(place, n * bit, len(ids)), None
+    levels = {}
+    for d in range(depth, 1, -1):
+        w, share = _weighted(zeros, ones, below)
+        levels[d] = (ids, zeros, ones, share)
+        ids, zeros, ones, below = _up(ids, zeros, ones, w, d - 1)
+    return levels, (ids, zeros, ones, below)
+
+
+def _string_logs(keys: np.ndarray, levels: dict, depth: int) -> np.ndarray:
+    """log10 probability of each string's last byte; contexts that never occurred halve what is left."""
+    out, byte = np.zeros(len(keys)), keys & 255
+    for k in range(8):
+        node, bit = (1 << k) | (byte >> (8 - k)), (byte >> (7 - k)) & 1
+        mixed, left = np.zeros(len(keys)), np.ones(len(keys))
+        for d in range(depth + 1):
+            ids, zeros, ones, share = levels[d]
+            estimate, own = np.full(len(keys), 0.5), np.full(len(keys), 0.5 if d < depth else 1.0)
+            if len(ids):
+                asked = ((keys >> 8) & ((1 << 8 * d) - 1)) << 8 | node
+                at = np.minimum(np.searchsorted(ids, asked), len(ids) - 1)
+                hit = ids[at] == asked
+                z, o = zeros[at[hit]], ones[at[hit]]
+                estimate[hit], own[hit] = (np.where(bit[hit] == 1, o, z) + 0.5) / (z + o + 1), share[at[hit]]
+            mixed += left * own * estimate
+            left *= 1 - own
+        out += np.log10(mixed)
+    return out
+
+
+def byte_logs(sums: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """h, p: log10 probability of the last byte of each string of sums (h, n), from the counts n of all."""
+    near = F.shiftright("h", 8).bitwiseAND(F.lit(0xFFFF)).alias("near")
+
+    def upper(shard: pa.Table) -> pa.Table:
+        _, top = _subtrees(shard.column("h").to_numpy(), shard.column("n").to_numpy(), depth)
+        return pa.table(dict(zip(("id", "z", "o", "below"), top)))
+
+    tops = sums.filter("n > 0").select("h", "n", near).groupBy("near").applyInArrow(upper, "id bigint, z double, o double, below double")
+    rows = tops.groupBy("id").agg(*(F.sum(c).alias(c) for c in ("z", "o", "below"))).orderBy("id").toArrow()
+    ids, zeros, ones, below = (rows.column(c).to_numpy() for c in ("id", "z", "o", "below"))
+    w, share = _weighted(zeros, ones, below)
+    levels = {1: (ids, zeros, ones, share)}
+    ids, zeros, ones, below = _up(ids, zeros, ones, w, 0)
+    levels[0] = (ids, zeros, ones, _weighted(zeros, ones, below)[1])
+    shared = sums.sparkSession.sparkContext.broadcast(levels)
+
+    def lower(shard: pa.Table) -> pa.Table:
+        keys, n = shard.column("h").to_numpy(), shard.column("n").to_numpy()
+        own, _ = _subtrees(keys[n > 0], n[n > 0], depth)
+        return pa.table({"h": keys, "p": _string_logs(keys, shared.value | own, depth)})
+
+    return sums.select("h", "n", near).groupBy("near").applyInArrow(lower, "h bigint, p double")
+
+
 _SCORED = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, n_bytes bigint"
 _SCORED_ARROW = pa.schema(
     [("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("n_bytes", pa.int64())]
 )
 
 
-def _scorer(model, tokens: int, distinct: int, ends: int):
+def _scorer(depth: int, tokens: int, distinct: int, ends: int):
     def score(chunk: pa.Table, totals: pa.Table) -> pa.Table:
-        own = model.value
+        kind = totals.column("kind").to_numpy()
+        found = totals.filter(pa.array(kind == STRINGS))
+        order = np.argsort(found.column("c").to_numpy())
+        keys, p = found.column("c").to_numpy()[order], found.column("p").to_numpy()[order]
+        totals = totals.filter(pa.array(kind == WORD))
         counts = np.zeros(totals.num_rows, np.int64)
         counts[totals.column("idx").to_numpy()] = totals.column("c").to_numpy()
         logs, known = np.log10(counts + 1.0), counts > 0
@@ -386,17 +465,19 @@ def _scorer(model, tokens: int, distinct: int, ends: int):
                 base = logs[words].sum() + np.log10(ends + 1.0) - (len(words) + 1) * np.log10(tokens + distinct + 1.0)
                 rows.append((doc, held_out(doc), len(words) + 1, int(known[words].sum()) + (ends > 0), tokens, base, 0.0, len(text)))
             columns = list(zip(*rows))
-            columns[6] = own.scores(texts)
+            columns[6] = []
+            for part in _slices(texts):
+                own, begins = strings(part, depth)
+                columns[6] += np.add.reduceat(p[np.searchsorted(keys, own)], begins).tolist()
             out.append(out_batch(_SCORED_ARROW, columns))
         return pa.Table.from_batches(out, _SCORED_ARROW)
 
     return score
 
 
-def score(docs: DataFrame, chunk: int = CHUNK, depth: int = DEPTH, limit: int = CONTEXTS) -> DataFrame:
+def score(docs: DataFrame, chunk: int = CHUNK, depth: int = DEPTH) -> DataFrame:
     """Scores of each row of docs (doc_id, text), learned from the rows that held_out leaves."""
-    spark = docs.sparkSession
-    parts = stored(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_gather(chunk), _PARTS_SQL), "lm-parts")
+    parts = stored(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_gather(chunk, depth), _PARTS_SQL), "lm-parts")
     same = Window.partitionBy("h")
     words = parts.filter(F.col("kind") == WORD).select("h", "chunk", "idx", "n")
     summed = words.select("chunk", "idx", F.sum("n").over(same).alias("c"), (F.min("chunk").over(same) == F.col("chunk")).alias("first"))
@@ -404,8 +485,11 @@ def score(docs: DataFrame, chunk: int = CHUNK, depth: int = DEPTH, limit: int =
     tokens, distinct = totals.filter("first AND c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     chunks = parts.filter(F.col("kind") == TEXTS).select("chunk", "blob", "n")
     ends = chunks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    model = spark.sparkContext.broadcast(train(parts, depth, limit))
-    scorer = _scorer(model, tokens + ends, distinct + (ends > 0), ends)
-    scored = chunks.select("chunk", "blob").groupBy("chunk").cogroup(totals.select("chunk", "idx", "c").groupBy("chunk")).applyInArrow(scorer, _SCORED)
+    found = parts.filter(F.col("kind") == STRINGS).select("h", "chunk", "n")
+    sums = stored(found.groupBy("h").agg(F.sum("n").alias("n")), "lm-strings")
+    logs = found.join(byte_logs(sums, depth), "h").select("chunk", F.lit(STRINGS).alias("kind"), F.lit(None).cast("int").alias("idx"), F.col("h").alias("c"), "p")
+    known = totals.select("chunk", F.lit(WORD).alias("kind"), "idx", "c", F.lit(None).cast("double").alias("p")).union(logs)
+    scorer = _scorer(depth, tokens + ends, distinct + (ends > 0), ends)
+    scored = chunks.select("chunk", "blob").groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(scorer, _SCORED)
     bits = F.when(F.col("n_bytes") > 0, -F.col("score") * F.lit(float(np.log2(10))) / F.col("n_bytes"))
     return scored.withColumn("bits_per_byte", bits)

@@ -161,3 +161,14 @@ def test_certain_bytes_keep_finite_scores(spark, tmp_path):
     rows = [(d, "a" * 200_000, *[None] * 7) for d in learned] + [(out, "ab" * 50, *[None] * 7)]
     got = {r["doc_id"]: r["score"] for r in run(spark, write_tables(tmp_path, rows, [], [], []), "op10_lm_score")}
     assert math.isfinite(got[out]) and got[out] < -100 and got[learned[0]] > -50
+
+
+def test_rare_contexts_keep_their_nodes(spark, tmp_path):
+    """More than 16384 training positions: contexts that occur once or twice still follow the recursion."""
+    rows = [(d, prose(d, 60) + f" rare{d} word", *[None] * 7) for d in range(90)]
+    docs = spark.read.parquet(write_tables(tmp_path, rows, [], [], []) + "/documents.parquet")
+    learned = [lower(t).encode() for d, t, *_ in rows if learns(d)]
+    assert sum(map(len, learned)) > 1 << 14
+    model, got = Recursive(learned, ctw.DEPTH), {r["doc_id"]: r["score"] for r in ctw.score(docs).collect()}
+    for d, t, *_ in rows[:12]:
+        assert got[d] == pytest.approx(model.score(lower(t).encode()), rel=1e-5)
