@@ -5,12 +5,16 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 #: What ``[^\x20\x09-\x0D]+`` leaves out: the white space between words.
 BLANKS = " \t\n\x0b\f\r"
@@ -48,13 +52,42 @@ def stored(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files that stored() wrote for df."""
-    spark = df.sparkSession
-    roots = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
-    for root in roots:
-        path = spark._jvm.org.apache.hadoop.fs.Path(root)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def discard(*tables: DataFrame) -> None:
+    """Delete the files that stored() wrote for tables, when nothing reads them any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for root in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(root)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def bounded_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Bound the batches that Python workers get by bytes, where the session has no smaller bound: rows may be very long."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if key not in _BOUNDED.get(spark, ()):
+        spark.conf.set(key, size)
+        _BOUNDED[spark] = {key}
+
+
+_BOUNDED: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
+
+def free(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def col(name: str) -> Column:
+    """The column of exactly that name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def with_field(df: DataFrame, name: str, kind: DataType) -> StructType:
+    """The schema of df with one more column."""
+    return StructType([*df.schema.fields, StructField(name, kind)])
 
 
 def by_hash(df: DataFrame, key: str, limit: int) -> DataFrame:
@@ -94,6 +127,17 @@ def text_bytes(batch: pa.RecordBatch, name: str) -> list[bytes]:
     return [x or b"" for x in batch.column(name).cast(pa.binary()).to_pylist()]
 
 
+def slices(batch: pa.RecordBatch, name: str, size: int = 1 << 22) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of a batch of about ``size`` bytes of texts, each with its texts; a longer text is a slice of its own."""
+    data = batch.column(name).cast(pa.large_binary())
+    ends = np.cumsum(np.nan_to_num(pc.binary_length(data).to_numpy(zero_copy_only=False).astype(float))) if batch.num_rows else np.zeros(0)
+    at, done = 0, 0.0
+    while at < batch.num_rows:
+        to = min(max(at + 1, int(np.searchsorted(ends, done + size, side="right"))), at + 4096)
+        yield batch.slice(at, to - at), [x or b"" for x in data.slice(at, to - at).to_pylist()]
+        at, done = to, float(ends[to - 1])
+
+
 def out_batch(schema: pa.Schema, columns: Iterable) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
