@@ -1,23 +1,21 @@
 """Language-model scoring by context-tree weighting, beside an add-one word model.
 
-**Word model.** Texts are lower-cased (A-Z) and cut into words; every text ends with an end token. Input tasks deal documents into
-chunks of at most ``CHUNK`` bytes. A chunk keeps its texts as one compressed blob and yields each of its distinct words once, with
-a 64-bit hash and its training count, so what is shuffled grows with distinct words by chunk rather than with tokens.
-Totals come from a window over the hash and return to their chunk, where texts are scored; texts are never shuffled by
-word. (Two words share a hash with a chance of about n * n / 2**65 among n distinct words.)
+**Word model.** Texts are lower-cased (A-Z) and cut into words; every text ends with an end token. Words are told apart by
+their bytes.
 
 **Byte model.** Each byte is eight binary decisions in the tree of its bits. Every decision has context trees of depth 0 to
 ``DEPTH`` over the bytes before; in each context its zeros and ones give a Krichevsky-Trofimov estimate, and context-tree
 weighting mixes the estimates of all depths with the posterior weights that the training counts give. Bytes of value zero stand
-before a text and one ends it, so scores are probabilities of whole texts.
+before a text and one ends it, so scores are probabilities of whole texts. Every context that occurs in training has a
+node, however rare, at every size of the corpus.
 
-Every context that occurs in training has a node, however rare. The counts are a distributed table of strings (a context of DEPTH bytes
-and the byte after it): a chunk yields each of its distinct strings once, held-out ones with a count of zero. Totals are sharded by the two
-bytes nearest to the position; a shard holds whole subtrees from depth 2 on. Only sums for depths 0 and 1 (at most 256 * 255
-numbers each) meet in the driver. A shard then gives the probability of each of its strings, which returns to the chunks
-as the word totals do.
-
-Contexts, Model and train are the same model in one process, with rare contexts merged; tests hold it to its counts and no query uses it.
+**Tables.** Input tasks deal documents into chunks of about ``CHUNK`` bytes. A chunk keeps its texts as one compressed blob, and
+yields its distinct words, and its distinct strings (a byte and the DEPTH bytes before it), each with its training count, packed by
+shard: a row a chunk and shard. So what is shuffled grows with distinct words and strings by chunk. Words are sharded by hash,
+strings by the two bytes nearest to the position, so that a shard holds whole subtrees from depth 2 on. Rows of a shard are
+merged at most ``FAN`` at a time until one is left. Sums for depths 0 and 1 (at most 256 * 255 numbers each) meet in
+the driver and are broadcast. Then each shard meets its chunks' rows, in as many tasks as these need, and answers each with the
+totals of its words or the probabilities of its strings; the answers meet their chunk, where texts are scored.
 
 Nulls are empty texts: one end token. Rows that repeat a doc_id are scored each. Without training documents the
 totals are zero and bytes are uniform. An empty table gives an empty table. Long texts are scored whole. Extra columns
@@ -27,37 +25,66 @@ are not read.
 from __future__ import annotations
 
 import zlib
-from array import array
-from collections import defaultdict, deque
+from math import lgamma
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import out_batch, stored, text_bytes
+from loomline.llm.common import bounded_batches, discard, out_batch, slices, stored
 
-CHUNK, DEPTH, CONTEXTS, SLICE = 24 << 20, 5, 1 << 14, 1 << 20
+CHUNK, DEPTH, SLICE, SHARDS, FAN, SERVED = 16 << 20, 5, 1 << 20, 1024, 64, 256
 MODULUS, HELD_OUT = 7, 2
-WORD, TEXTS, STRINGS = 0, 1, 2
-_PARTS = pa.schema([("kind", pa.int8()), ("chunk", pa.int64()), ("h", pa.int64()), ("idx", pa.int32()), ("n", pa.int64()), ("blob", pa.binary())])
-_PARTS_SQL = "kind tinyint, chunk bigint, h bigint, idx int, n bigint, blob binary"
+WORDS, STRINGS, TEXTS = 0, 1, 2
+_PARTS = pa.schema([("kind", pa.int8()), ("chunk", pa.int64()), ("shard", pa.int32()), ("n", pa.int64()), ("keys", pa.binary()), ("held", pa.binary())])
+_PARTS_SQL = "kind tinyint, chunk bigint, shard int, n bigint, keys binary, held binary"
 
 
 def held_out(doc_id: int | None) -> bool:
     return zlib.crc32(str(doc_id).encode() if doc_id is not None else b"") % MODULUS == HELD_OUT
 
 
+def packed(x: np.ndarray) -> bytes:
+    """Numbers as compressed planes of bytes."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes())
+
+
+def unpacked(data: bytes, kind: str) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
+
+
+def packed_keys(sorted_keys: np.ndarray) -> bytes:
+    return packed(np.diff(sorted_keys, prepend=0))
+
+
+def unpacked_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(data, "<i8"))
+
+
+def packed_words(words: list[bytes]) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(b"\n".join(words))
+
+
+def unpacked_words(data: bytes) -> list[bytes]:
+    return zstandard.ZstdDecompressor().decompress(data).split(b"\n")
+
+
 def strings(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each text its bytes and the end: each with the depth bytes before as one number; and where each text begins."""
+    """For each text its bytes and the end, each with the depth bytes before as one number, nearest byte first; and where each text begins.
+
+    The byte itself is in the lowest eight bits.
+    """
     gap = b"\0" * depth
     raw = np.frombuffer(gap + (b"\0" + gap).join(texts) + b"\0", np.uint8)
     keys = raw[depth:].astype(np.int64)
     for d in range(1, depth + 1):
-        keys |= raw[depth - d : len(raw) - d].astype(np.int64) << (8 * d)
+        keys |= raw[depth - d : len(raw) - d].astype(np.int64) << (8 * (depth - d + 1))
     sizes = np.array([len(x) + 1 for x in texts])
     begins = np.cumsum(sizes) - sizes
     keep = np.ones(len(keys), bool)
@@ -65,19 +92,38 @@ def strings(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
     return keys[keep], begins
 
 
+def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order and the sum of n of each."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.diff(keys, prepend=keys[0] - 1 if len(keys) else 0))
+    return keys[first], np.add.reduceat(n[order], first) if len(first) else n[:0]
+
+
+def _near_shard(keys: np.ndarray, depth: int) -> np.ndarray:
+    near = (keys >> (8 * (depth - 1))).astype(np.uint64)
+    return ((near * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(SHARDS)
+
+
+def _portions(texts: list[bytes]):
+    at = 0
+    while at < len(texts):
+        to, size = at, 0
+        while to < len(texts) and size < SLICE:
+            size, to = size + len(texts[to]), to + 1
+        yield texts[at:to]
+        at = to
+
+
 class _Chunks:
     """What one input task gathers."""
 
     def __init__(self, size: int, depth: int):
-        self.size, self.task, self.nth = size, TaskContext.get().partitionId(), 0
-        self.depth = depth
+        self.size, self.depth, self.task, self.nth = size, depth, TaskContext.get().partitionId(), 0
         self._clear()
 
     def _clear(self):
         self.ids, self.texts, self.bytes = [], [], 0
-        self.number = defaultdict()
-        self.number.default_factory = self.number.__len__
-        self.seen = np.zeros(0, np.int64)
 
     def add(self, doc_id, text: bytes):
         self.ids.append(doc_id)
@@ -86,356 +132,292 @@ class _Chunks:
         if self.bytes >= self.size:
             yield from self.flush()
 
+    def _words(self, train: list[bool]):
+        seen: dict[bytes, int] = {}
+        for text, learn in zip(self.texts, train):
+            for w in text.split():
+                seen[w] = seen.get(w, 0) + learn
+        digest, by_shard = xxhash.xxh64_intdigest, [[] for _ in range(SHARDS)]
+        for w in seen:
+            by_shard[digest(w) % SHARDS].append(w)
+        for shard, own in enumerate(by_shard):
+            if own:
+                own.sort()
+                yield WORDS, shard, packed_words(own), packed(np.array([seen[w] for w in own], "<i8"))
+
+    def _strings(self, train: list[bool]):
+        keys, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for learn in (True, False):
+            for part in _portions([t for t, own in zip(self.texts, train) if own == learn]):
+                own, often = np.unique(strings(part, self.depth)[0], return_counts=True)
+                keys, n = summed(np.concatenate([keys, own]), np.concatenate([n, often if learn else np.zeros_like(often)]))
+        shard = _near_shard(keys, self.depth)
+        order = np.argsort(shard, kind="stable")
+        edges = np.searchsorted(shard[order], np.arange(SHARDS + 1))
+        for s in np.flatnonzero(np.diff(edges)).tolist():
+            own = order[edges[s] : edges[s + 1]]
+            yield STRINGS, s, packed_keys(keys[own]), packed(n[own].astype("<i8"))
+
     def flush(self):
         if not self.ids:
             return
         chunk, self.nth = (self.task << 32) | self.nth, self.nth + 1
-        train, words = [not held_out(d) for d in self.ids], array("i")
-        for text, learn in zip(self.texts, train):  # words are numbered in order of the texts, held out ones too
-            own = map(self.number.__getitem__, text.split())
-            if learn:
-                words.extend(own)
-            else:
-                deque(own, maxlen=0)
-        counts = np.bincount(np.frombuffer(words, np.intc), minlength=len(self.number))
-        del words
-        digest = xxhash.xxh64_intdigest
-        hashes = np.fromiter(map(digest, self.number), np.uint64, len(counts)).view(np.int64)
-        for at in range(0, len(counts), 1 << 16):
-            n = min(1 << 16, len(counts) - at)
-            span = slice(at, at + n)
-            yield out_batch(_PARTS, (np.full(n, WORD, "i1"), np.full(n, chunk), hashes[span], np.arange(at, at + n, dtype="i4"), counts[span], [None] * n))
-        found, often = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for learn in (True, False):
-            for part in _slices([t for t, own in zip(self.texts, train) if own == learn]):
-                keys, n = np.unique(strings(part, self.depth)[0], return_counts=True)
-                found.append(keys)
-                often.append(n if learn else np.zeros_like(n))
-        keys, place = np.unique(np.concatenate(found), return_inverse=True)
-        n = np.bincount(place, np.concatenate(often), len(keys)).astype(np.int64)
-        for at in range(0, len(keys), 1 << 16):
-            some, k = slice(at, at + (1 << 16)), len(keys[at : at + (1 << 16)])
-            yield out_batch(_PARTS, (np.full(k, STRINGS, "i1"), np.full(k, chunk), keys[some], [None] * k, n[some], [None] * k))
+        train = [not held_out(d) for d in self.ids]
+        for made in (self._words(train), self._strings(train)):
+            rows = []
+            for kind, shard, keys, n in made:
+                rows.append((kind, chunk, shard, None, keys, n))
+                if len(rows) == 256:
+                    yield out_batch(_PARTS, zip(*rows))
+                    rows = []
+            if rows:
+                yield out_batch(_PARTS, zip(*rows))
         ids = np.array([-1 << 63 if d is None else d for d in self.ids], "<i8").tobytes()
         sizes = np.array([len(t) for t in self.texts], "<i8").tobytes()
         blob = zstandard.ZstdCompressor(level=1).compress(len(self.ids).to_bytes(8, "little") + ids + sizes + b"".join(self.texts))
-        yield out_batch(_PARTS, ([TEXTS], [chunk], [None], [None], [sum(train)], [blob]))
+        yield out_batch(_PARTS, ([TEXTS], [chunk], [None], [sum(train)], [blob], [None]))
         self._clear()
 
 
+def chunk_texts(blob: bytes) -> tuple[list[int | None], list[bytes]]:
+    """doc_ids and texts of a chunk."""
+    data = zstandard.ZstdDecompressor().decompress(blob)
+    n = int.from_bytes(data[:8], "little")
+    ids, sizes = np.frombuffer(data, "<i8", 2 * n, 8).reshape(2, n).tolist()
+    texts, at = [], 8 + 16 * n
+    for size in sizes:
+        texts.append(data[at : at + size])
+        at += size
+    return [None if d == -1 << 63 else d for d in ids], texts
+
+
 def _gather(size: int, depth: int = DEPTH):
     def gather(batches):
         own = _Chunks(size, depth)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                for doc_id, text in zip(part.column("doc_id").to_pylist(), text_bytes(part, "text")):
+            for part, data in slices(batch, "text"):
+                for doc_id, text in zip(part.column("doc_id").to_pylist(), data):
                     yield from own.add(doc_id, text.lower())
         yield from own.flush()
 
     return gather
 
 
-def _log_gamma(x: np.ndarray) -> np.ndarray:
-    y, shift = x + 8, np.zeros_like(x)
-    for k in range(8):
-        shift += np.log(x + k)
-    return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - shift
-
-
-def _log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Logarithm of the Krichevsky-Trofimov probability of a zeros and b ones in some order."""
-    return _log_gamma(a + 0.5) + _log_gamma(b + 0.5) - np.log(np.pi) - _log_gamma(a + b + 1)
-
-
-def _decisions(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Zeros and ones of the 255 decisions (heap order from 1; place 0 is unused) from counts of the 256 bytes."""
-    zeros, ones, level = np.zeros(counts.shape), np.zeros(counts.shape), counts
-    for bits in range(7, -1, -1):
-        pairs = level.reshape(*level.shape[:-1], -1, 2)
-        zeros[..., 1 << bits : 2 << bits], ones[..., 1 << bits : 2 << bits] = pairs[..., 0], pairs[..., 1]
-        level = pairs.sum(axis=-1)
-    return zeros, ones
-
-
-def _byte_logs(one: np.ndarray) -> np.ndarray:
-    """log10 of the 256 bytes' probabilities from each decision's probability of a one."""
-    out = np.zeros(one.shape)
-    byte = np.arange(256)
-    for bits in range(8):
-        node, bit = (1 << bits) | (byte >> (8 - bits)), (byte >> (7 - bits)) & 1
-        p = one[..., node]
-        out += np.log10(np.where(bit == 1, p, 1 - p))
-    return out
+# --- totals of a shard
 
 
-def _slices(texts: list[bytes]):
-    at = 0
-    while at < len(texts):
-        to, size = at, 0
-        while to < len(texts) and size < SLICE:
-            size, to = size + len(texts[to]), to + 1
-        yield texts[at:to]
-        at = to
-
+class _Sum:
+    """The sum of rows of one shard; what is held stays near the number of distinct keys."""
 
-class Contexts:
-    """Finds the node of every position's context. Depth by depth a table gives, for a node and one more byte, the longer node.
+    def __init__(self, kind: int):
+        self.kind, self.words = kind, {}
+        self.keys, self.n, self.more, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
 
-    keys[d] are the d-byte strings that have nodes, as sorted numbers; the last row of a table is for contexts without node.
-    """
+    def add(self, keys: bytes, n: bytes) -> None:
+        n = unpacked(n, "<i8")
+        if self.kind == WORDS:
+            for w, c in zip(unpacked_words(keys), n.tolist()):
+                self.words[w] = self.words.get(w, 0) + c
+            return
+        self.more.append((unpacked_keys(keys), n))
+        self.size += len(n)
+        if self.size > len(self.keys) + SLICE:
+            self._settle()
+
+    def _settle(self) -> None:
+        parts = [(self.keys, self.n), *self.more]
+        self.keys, self.n = summed(*(np.concatenate([p[i] for p in parts]) for i in (0, 1)))
+        self.more, self.size = [], 0
+
+    def row(self) -> tuple[bytes, bytes]:
+        if self.kind == WORDS:
+            own = sorted(self.words)
+            return packed_words(own), packed(np.array([self.words[w] for w in own], "<i8"))
+        self._settle()
+        return packed_keys(self.keys), packed(self.n)
+
+
+_SHARD = pa.schema([("kind", pa.int8()), ("shard", pa.int32()), ("own", pa.int64()), ("keys", pa.binary()), ("held", pa.binary())])
+_SHARD_SQL = "kind tinyint, shard int, own bigint, keys binary, held binary"
+
+
+def _merge(batches):
+    """Rows come sorted by kind, shard and group (own): one row for each."""
+    now, total = None, None
+    for batch in batches:
+        for kind, shard, own, keys, n in zip(*(batch.column(c).to_pylist() for c in _SHARD.names)):
+            if (kind, shard, own) != now:
+                if now:
+                    yield out_batch(_SHARD, zip((*now, *total.row())))
+                now, total = (kind, shard, own), _Sum(kind)
+            total.add(keys, n)
+    if now:
+        yield out_batch(_SHARD, zip((*now, *total.row())))
+
+
+def shard_totals(parts: DataFrame, chunks: int) -> DataFrame:
+    """kind, shard, keys, held: the sums of all rows of a shard, merged in rounds of about FAN rows."""
+    rows, groups, before = parts.select("kind", "shard", F.col("chunk").alias("own"), "keys", "held"), max(1, chunks), None
+    while True:
+        groups = -(-groups // FAN)
+        cut = rows.withColumn("own", F.pmod(F.xxhash64("own"), F.lit(groups)))
+        merged = cut.repartition("kind", "shard", "own").sortWithinPartitions("kind", "shard", "own").mapInArrow(_merge, _SHARD_SQL)
+        rows = stored(merged, "lm-totals")
+        if before is not None:
+            discard(before)
+        before = rows
+        if groups == 1:
+            return rows
+
+
+# --- the byte model
+
+_TABLE = 1 << 14
+_HALF, _WHOLE = (np.array([lgamma(i + s) for i in range(_TABLE)]) for s in (0.5, 1.0))
 
-    def __init__(self):
-        self.keys, self.tables = {1: np.arange(256)}, {}
-
-    def extend(self, keys: np.ndarray) -> None:
-        """Nodes of the next depth: strings whose first bytes, and whose last bytes, have nodes of the depth before."""
-        d = len(self.keys) + 1
-        old, keys = self.keys[d - 1], np.sort(keys)
-        has = lambda x: np.isin(x, old, assume_unique=False)
-        keys = keys[has(keys >> 8) & has(keys & ((1 << 8 * (d - 1)) - 1))]
-        table = np.full((len(old) + 1, 256), len(keys), np.int32)
-        table[np.searchsorted(old, keys >> 8), keys & 255] = np.arange(len(keys))
-        self.keys[d], self.tables[d] = keys, table.reshape(-1)
-
-    def data(self, texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
-        """Bytes of texts, each after ``depth`` zeros and before one; and where each begins."""
-        gap = b"\0" * depth
-        raw = np.frombuffer(gap + (b"\0" + gap).join(texts) + b"\0", np.uint8)
-        return raw, depth + np.cumsum([0, *(len(x) + 1 + depth for x in texts[:-1])])
-
-    def nodes(self, raw: np.ndarray, upto: int):
-        """(depth, node of the context before each position) from depth 1 on; the first positions have none."""
-        last = np.empty(len(raw), np.int64)
-        last[0], last[1:] = 0, raw[:-1]
-        own = last
-        yield 1, own
-        for d in range(2, upto + 1):
-            at = np.empty_like(own)
-            at[0] = len(self.keys[d - 1])
-            np.multiply(own[:-1], 256, out=at[1:])
-            at[0] *= 256
-            at += last
-            own = self.tables[d].take(at)
-            yield d, own
-
-    def counts(self, texts: list[bytes], depth: int) -> np.ndarray:
-        """How often each byte follows each node of a depth."""
-        size = 256 * len(self.keys[depth])
-        total = np.zeros(size, np.int64)
-        for part in _slices(texts):
-            raw, begins = self.data(part, depth)
-            for _, own in self.nodes(raw, depth):
-                pass
-            keep = own < len(self.keys[depth])
-            keep[(begins[:, None] - 1 - np.arange(depth)).reshape(-1)] = False
-            total += np.bincount(own[keep] * 256 + raw[keep], minlength=size)
-        return total
-
-
-def _follow(contexts, depth: int):
-    def follow(batches):
-        own, total = contexts.value, None
-        for batch in batches:
-            for blob in batch.column(0).to_pylist():
-                ids, texts = unpacked(blob)
-                found = own.counts([t for d, t in zip(ids, texts) if not held_out(d)], depth)
-                total = found if total is None else total + found
-        if total is not None:
-            cells = np.flatnonzero(total)
-            for at in range(0, len(cells), 1 << 16):
-                some = cells[at : at + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["h", "n"])
 
-    return follow
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    """For arguments beyond the tables (Stirling's series)."""
+    return (x - 0.5) * np.log(x) - x + 0.5 * np.log(2 * np.pi) + 1 / (12 * x) - 1 / (360 * x**3)
 
 
-def unpacked(blob: bytes) -> tuple[list[int | None], list[bytes]]:
-    """doc_ids and texts of a chunk."""
-    data = zstandard.ZstdDecompressor().decompress(blob)
-    n = int.from_bytes(data[:8], "little")
-    ids, sizes = np.frombuffer(data, "<i8", 2 * n, 8).reshape(2, n).tolist()
-    texts, at = [], 8 + 16 * n
-    for size in sizes:
-        texts.append(data[at : at + size])
-        at += size
-    return [None if d == -1 << 63 else d for d in ids], texts
+def _looked_up(table: np.ndarray, n: np.ndarray, shift: float) -> np.ndarray:
+    out = table[np.minimum(n, _TABLE - 1)]
+    large = n >= _TABLE
+    if large.any():
+        out[large] = _log_gamma(n[large] + shift)
+    return out
 
 
-class Model:
-    """Rows of log10 probabilities of the next byte, one for each node, used where no longer context has a node."""
-
-    def __init__(self, contexts: Contexts, counts: dict[int, np.ndarray]):
-        """counts[d]: (nodes of depth d, 256) for each depth from 0."""
-        self.contexts, self.depth = contexts, max(counts)
-        below, levels = None, {}
-        for d in range(self.depth, -1, -1):  # from the leaves up: what is mixed in each node
-            n = len(counts[d])
-            levels[d] = {k: np.zeros((n, 256)) for k in ("one", "rest", "share")}
-            weighted, inner = np.empty((n, 256)), np.zeros(n, bool)
-            up = self._parents(d + 1) if d < self.depth else np.zeros(0, int)
-            inner[up] = True
-            rest = counts[d].astype(np.int64)
-            if len(up):
-                np.subtract.at(rest, up, counts[d + 1])
-            for at in range(0, n, 2048):
-                s = slice(at, at + 2048)
-                (zeros, ones), (rz, ro) = _decisions(counts[d][s].astype(float)), _decisions(rest[s].astype(float))
-                kt = _log_kt(zeros, ones)
-                deeper = _log_kt(rz, ro) + (below[s] if below is not None else 0.0)
-                w = np.where(inner[s][:, None], np.logaddexp(kt, deeper) - np.log(2), kt)
-                levels[d]["one"][s], levels[d]["rest"][s] = (ones + 0.5) / (zeros + ones + 1), (ro + 0.5) / (rz + ro + 1)
-                levels[d]["share"][s] = np.where(inner[s][:, None], np.exp(kt - np.log(2) - w), 1.0)
-                weighted[s] = w
-            if d:
-                up, below = self._parents(d), np.zeros((len(counts[d - 1]), 256))
-                np.add.at(below, up, weighted)
-        mixed, left = np.zeros((1, 256)), np.ones((1, 256))
-        rows, self.base = [], {}
-        for d in range(self.depth + 1):  # from the root down: what each path gives
-            x = levels[d]
-            if d:
-                up = self._parents(d)
-                mixed, left = mixed[up], left[up]
-            if d:
-                self.base[d] = sum(map(len, rows))
-                rows.append(np.empty((len(x["one"]), 256), np.float32))
-                for at in range(0, len(rows[-1]), 2048):
-                    s = slice(at, at + 2048)
-                    p = mixed[s] + left[s] * (x["share"][s] * x["one"][s] + (1 - x["share"][s]) * x["rest"][s])
-                    rows[-1][s] = _byte_logs(p)
-            mixed = mixed + left * x["share"] * x["one"]
-            left = left * (1 - x["share"])
-            levels[d] = None
-        self.rows = np.concatenate(rows)
-
-    def _parents(self, d: int) -> np.ndarray:
-        """The node that is each node's context without its oldest byte."""
-        if d == 1:
-            return np.zeros(256, int)
-        return np.searchsorted(self.contexts.keys[d - 1], self.contexts.keys[d] & ((1 << 8 * (d - 1)) - 1))
-
-    def scores(self, texts: list[bytes]) -> np.ndarray:
-        """log10 probability of each text with its end."""
-        out = []
-        for part in _slices(texts):
-            raw, begins = self.contexts.data(part, self.depth)
-            row = np.zeros(len(raw), np.int32)
-            for d, own in self.contexts.nodes(raw, self.depth):
-                found = own < len(self.contexts.keys[d])
-                row[found] = self.base[d] + own[found]
-            logs = self.rows[row, raw].astype(float)
-            edges = np.stack([begins, begins + [len(x) + 1 for x in part]], axis=1).reshape(-1)[:-1]
-            out.append(np.add.reduceat(logs, edges)[::2])
-        return np.concatenate(out) if out else np.zeros(0)
-
-
-def train(parts: DataFrame, depth: int = DEPTH, limit: int = CONTEXTS) -> Model:
-    """The byte model with at most ``limit`` nodes a depth; one pass over the stored texts for each depth beyond two."""
-    sc = parts.sparkSession.sparkContext
-    rows = parts.filter((F.col("kind") == STRINGS) & (F.col("n") > 0)).groupBy(F.col("h").bitwiseAND(F.lit((1 << 24) - 1)).alias("h")).agg(F.sum("n").alias("n")).toArrow()
-    keys, n = rows.column("h").to_numpy(), rows.column("n").to_numpy()
-    least = max(1, -(-int(n.sum()) // limit))
-    contexts, first = Contexts(), np.zeros((256, 256), np.int64)
-    np.add.at(first, ((keys >> 8) & 255, keys & 255), n)
-    counts = {0: first.sum(axis=0)[None], 1: first}
-    strings_, place = np.unique(keys >> 8, return_inverse=True)
-    often = np.bincount(place, weights=n, minlength=len(strings_)) >= least
-    contexts.extend(strings_[often])
-    held = often[place]
-    counts[2] = np.zeros((int(often.sum()), 256), np.int64)
-    np.add.at(counts[2], (np.searchsorted(contexts.keys[2], keys[held] >> 8), keys[held] & 255), n[held])
-    blobs = parts.filter(F.col("kind") == TEXTS).select("blob")
-    for d in range(3, depth + 1):
-        node, byte = np.nonzero(counts[d - 1] >= least)
-        contexts.extend((contexts.keys[d - 1][node] << 8) | byte)
-        shared = sc.broadcast(contexts)
-        found = blobs.mapInArrow(_follow(shared, d), "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).toArrow()
-        counts[d] = np.zeros((len(contexts.keys[d]), 256), np.int64)
-        counts[d].reshape(-1)[found.column("h").to_numpy()] = found.column("n").to_numpy()
-        keep = counts[d].sum(axis=1) >= least  # a string that mostly ends texts is seldom a context
-        if not keep.all():
-            kept = contexts.keys.pop(d)[keep]
-            del contexts.tables[d]
-            contexts.extend(kept)
-            counts[d] = counts[d][keep]
-    return Model(contexts, counts)
-
-
-def _up(ids, zeros, ones, below, depth: int):
-    """What decisions (context << 8 | node of the byte's tree) of one depth, with these counts, sum to in the depth above."""
-    own, place = np.unique(((ids >> 8) & ((1 << 8 * depth) - 1)) << 8 | (ids & 255), return_inverse=True)
-    return own, *(np.bincount(place, x, len(own)) for x in (zeros, ones, below))
+def _log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """Logarithm of the Krichevsky-Trofimov probability of so many zeros and ones in some order."""
+    return _looked_up(_HALF, zeros, 0.5) + _looked_up(_HALF, ones, 0.5) - np.log(np.pi) - _looked_up(_WHOLE, zeros + ones, 1.0)
 
 
 def _weighted(zeros, ones, below):
     """The weighted logarithm of decisions, and the share of their own estimate; below is None for leaves."""
-    kt = _log_kt(zeros.astype(float), ones.astype(float))  # np.bincount of nothing gives integers
+    kt = _log_kt(zeros, ones)
     if below is None:
         return kt, np.ones(len(kt))
     w = np.logaddexp(kt, below) - np.log(2)
     return w, np.exp(kt - np.log(2) - w)
 
 
-def _subtrees(keys: np.ndarray, n: np.ndarray, depth: int):
-    """levels[d] = (ids, zeros, ones, share) for depths from 2, and what they sum to in depth 1."""
-    byte, k = keys & 255, np.arange(8)[:, None]
-    ids = ((keys >> 8 << 8) | (1 << k) | (byte >> (8 - k))).reshape(-1)
-    bit, n = ((byte >> (7 - k)) & 1).reshape(-1), np.tile(n, 8)
-    ids, place = np.unique(ids, return_inverse=True)
-    zeros, ones, below = np.bincount(place, n * (1 - bit), len(ids)), np.bincount(place, n * bit, len(ids)), None
-    levels = {}
-    for d in range(depth, 1, -1):
-        w, share = _weighted(zeros, ones, below)
-        levels[d] = (ids, zeros, ones, share)
-        ids, zeros, ones, below = _up(ids, zeros, ones, w, d - 1)
-    return levels, (ids, zeros, ones, below)
-
-
-def _string_logs(keys: np.ndarray, levels: dict, depth: int) -> np.ndarray:
-    """log10 probability of each string's last byte; contexts that never occurred halve what is left."""
-    out, byte = np.zeros(len(keys)), keys & 255
-    for k in range(8):
-        node, bit = (1 << k) | (byte >> (8 - k)), (byte >> (7 - k)) & 1
-        mixed, left = np.zeros(len(keys)), np.ones(len(keys))
-        for d in range(depth + 1):
-            ids, zeros, ones, share = levels[d]
-            estimate, own = np.full(len(keys), 0.5), np.full(len(keys), 0.5 if d < depth else 1.0)
-            if len(ids):
-                asked = ((keys >> 8) & ((1 << 8 * d) - 1)) << 8 | node
-                at = np.minimum(np.searchsorted(ids, asked), len(ids) - 1)
-                hit = ids[at] == asked
-                z, o = zeros[at[hit]], ones[at[hit]]
-                estimate[hit], own[hit] = (np.where(bit[hit] == 1, o, z) + 0.5) / (z + o + 1), share[at[hit]]
-            mixed += left * own * estimate
-            left *= 1 - own
-        out += np.log10(mixed)
-    return out
+class Subtrees:
+    """The context trees below one shard's contexts of depth 2, from its strings (sorted keys) and their counts.
 
+    A string that never occurred in training has counts of zero: its estimates are halves and add nothing above, as for a context without node.
+    At each depth the strings, cut to that depth, are in order of context and byte, so those of one decision are a run.
+    """
 
-def byte_logs(sums: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """h, p: log10 probability of the last byte of each string of sums (h, n), from the counts n of all."""
-    near = F.shiftright("h", 8).bitwiseAND(F.lit(0xFFFF)).alias("near")
+    def __init__(self, keys: np.ndarray, n: np.ndarray, depth: int):
+        self.levels, self.depth = {}, depth
+        cut, below = keys, [None] * 8
+        for d in range(depth, 1, -1):
+            byte, decisions, sums = cut & 255, [], []
+            for k in range(8):
+                begin = np.flatnonzero(np.diff(cut >> (8 - k), prepend=-1))
+                run = np.repeat(np.arange(len(begin)), np.diff(begin, append=len(cut)))
+                ones, all_ = (np.add.reduceat(x, begin) if len(begin) else x for x in (n * ((byte >> (7 - k)) & 1), n))
+                own = None if d == depth else np.bincount(run[below[k][0]], below[k][1], len(begin))
+                w, share = _weighted(all_ - ones, ones, own)
+                decisions.append((run, (ones + 0.5) / (all_ + 1), share))
+                sums.append((begin, w, all_ - ones, ones))
+            if d == 2:
+                self.levels[d] = (cut, decisions, None)
+                self.tops = self._tops(cut, sums)
+                return
+            up, place = np.unique((cut >> 16 << 8) | byte, return_inverse=True)
+            self.levels[d] = (cut, decisions, place)
+            below = [(place[begin], w) for begin, w, _, _ in sums]
+            cut, n = up, np.bincount(place, n, len(up)).astype(np.int64)
+
+    @staticmethod
+    def _tops(cut, sums):
+        """id (byte before << 8 | node of the decision), zeros, ones and the sum of weighted logarithms for depth 1."""
+        ids = np.concatenate([(cut[begin] >> 16 << 8) | (1 << k) | ((cut[begin] & 255) >> (8 - k)) for k, (begin, *_) in enumerate(sums)])
+        found, place = np.unique(ids, return_inverse=True)
+        join = lambda i: np.bincount(place, np.concatenate([s[i] for s in sums]), len(found))
+        return found, join(2), join(3), join(1)
+
+    def logs(self, top) -> np.ndarray:
+        """log10 probability of each string's byte, in order of the keys given. top: estimates and shares of depths 0 and 1."""
+        (one0, share0), (one1, share1) = top
+        cut = self.levels[2][0]
+        byte, out = cut & 255, None
+        mixed, left = [], []
+        for k in range(8):
+            node, bit = (1 << k) | (byte >> (8 - k)), ((byte >> (7 - k)) & 1).astype(bool)
+            at = (cut >> 16 << 8) | node
+            p0, p1 = (np.where(bit, p, 1 - p) for p in (one0[node], one1[at]))
+            mixed.append(share0[node] * p0 + (1 - share0[node]) * share1[at] * p1)
+            left.append((1 - share0[node]) * (1 - share1[at]))
+        for d in range(2, self.depth + 1):
+            cut, decisions, place = self.levels[d]
+            byte, out = cut & 255, np.zeros(len(cut))
+            for k, (run, one, share) in enumerate(decisions):
+                if place is not None:
+                    mixed[k], left[k] = mixed[k][place], left[k][place]
+                p = np.where(((byte >> (7 - k)) & 1).astype(bool), one[run], 1 - one[run])
+                mixed[k] = mixed[k] + left[k] * share[run] * p
+                left[k] = left[k] * (1 - share[run])
+                if d == self.depth:
+                    out += np.log10(mixed[k])
+        return out
+
+
+_TOPS = pa.schema([("id", pa.int64()), ("z", pa.float64()), ("o", pa.float64()), ("below", pa.float64()), ("tokens", pa.int64()), ("distinct", pa.int64())])
+
+
+def _tops_of(depth: int):
+    def tops(batches):
+        for batch in batches:
+            for kind, keys, n in zip(*(batch.column(c).to_pylist() for c in ("kind", "keys", "held"))):
+                n = unpacked(n, "<i8")
+                if kind == WORDS:
+                    yield out_batch(_TOPS, ([None], [None], [None], [None], [int(n.sum())], [int((n > 0).sum())]))
+                else:
+                    own = Subtrees(unpacked_keys(keys), n, depth).tops
+                    yield out_batch(_TOPS, (*own, [None] * len(own[0]), [None] * len(own[0])))
+
+    return tops
+
+
+def upper_levels(rows: pa.Table):
+    """(probability of a one, share) by node for depth 0, and by byte before and node for depth 1."""
+    at = rows.column("id").to_numpy()
+    zeros, ones, below = (np.bincount(at, rows.column(c).to_numpy(), 1 << 16) for c in ("z", "o", "below"))
+    zeros, ones = zeros.astype(np.int64), ones.astype(np.int64)
+    w, share = _weighted(zeros, ones, below)
+    z0, o0, below0 = (x.reshape(256, 256).sum(axis=0) for x in (zeros, ones, w))
+    return ((o0 + 0.5) / (z0 + o0 + 1), _weighted(z0, o0, below0)[1]), ((ones + 0.5) / (zeros + ones + 1), share)
 
-    def upper(shard: pa.Table) -> pa.Table:
-        _, top = _subtrees(shard.column("h").to_numpy(), shard.column("n").to_numpy(), depth)
-        return pa.table(dict(zip(("id", "z", "o", "below"), top)))
 
-    tops = sums.filter("n > 0").select("h", "n", near).groupBy("near").applyInArrow(upper, "id bigint, z double, o double, below double")
-    rows = tops.groupBy("id").agg(*(F.sum(c).alias(c) for c in ("z", "o", "below"))).orderBy("id").toArrow()
-    ids, zeros, ones, below = (rows.column(c).to_numpy() for c in ("id", "z", "o", "below"))
-    w, share = _weighted(zeros, ones, below)
-    levels = {1: (ids, zeros, ones, share)}
-    ids, zeros, ones, below = _up(ids, zeros, ones, w, 0)
-    levels[0] = (ids, zeros, ones, _weighted(zeros, ones, below)[1])
-    shared = sums.sparkSession.sparkContext.broadcast(levels)
+_ANSWERS = pa.schema([("chunk", pa.int64()), ("kind", pa.int8()), ("keys", pa.binary()), ("held", pa.binary())])
 
-    def lower(shard: pa.Table) -> pa.Table:
-        keys, n = shard.column("h").to_numpy(), shard.column("n").to_numpy()
-        own, _ = _subtrees(keys[n > 0], n[n > 0], depth)
-        return pa.table({"h": keys, "p": _string_logs(keys, shared.value | own, depth)})
 
-    return sums.select("h", "n", near).groupBy("near").applyInArrow(lower, "h bigint, p double")
+def _answerer(depth: int, top):
+    def answer(batches):
+        """Rows come sorted by kind, shard, part and chunk: the totals of a shard (without chunk) before the chunks' rows."""
+        model, found = None, None
+        for batch in batches:
+            rows = []
+            for kind, chunk, keys, n in zip(*(batch.column(c).to_pylist() for c in ("kind", "chunk", "keys", "held"))):
+                if chunk is None:
+                    n = unpacked(n, "<i8")
+                    if kind == WORDS:
+                        model, found = dict(zip(unpacked_words(keys), n.tolist())), None
+                    else:
+                        model = unpacked_keys(keys)
+                        found = Subtrees(model, n, depth).logs(top.value).astype("<f4")
+                elif kind == WORDS:
+                    rows.append((chunk, kind, keys, packed(np.array([model[w] for w in unpacked_words(keys)], "<i8"))))
+                else:
+                    rows.append((chunk, kind, keys, packed(found[np.searchsorted(model, unpacked_keys(keys))])))
+            if rows:
+                yield out_batch(_ANSWERS, zip(*rows))
+
+    return answer
 
 
 _SCORED = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, n_bytes bigint"
@@ -445,20 +427,23 @@ _SCORED_ARROW = pa.schema(
 
 
 def _scorer(depth: int, tokens: int, distinct: int, ends: int):
-    def score(chunk: pa.Table, totals: pa.Table) -> pa.Table:
-        kind = totals.column("kind").to_numpy()
-        found = totals.filter(pa.array(kind == STRINGS))
-        order = np.argsort(found.column("c").to_numpy())
-        keys, p = found.column("c").to_numpy()[order], found.column("p").to_numpy()[order]
-        totals = totals.filter(pa.array(kind == WORD))
-        counts = np.zeros(totals.num_rows, np.int64)
-        counts[totals.column("idx").to_numpy()] = totals.column("c").to_numpy()
+    def score(chunk: pa.Table, answers: pa.Table) -> pa.Table:
+        kinds = answers.column("kind").to_numpy()
+        of = lambda kind: ((answers.column("keys")[i].as_py(), answers.column("held")[i].as_py()) for i in np.flatnonzero(kinds == kind).tolist())
+        number, counts = {}, [np.zeros(0, np.int64)]
+        for words, n in of(WORDS):
+            counts.append(unpacked(n, "<i8"))
+            number.update(zip(unpacked_words(words), range(len(number), len(number) + len(counts[-1]))))
+        counts = np.concatenate(counts)
         logs, known = np.log10(counts + 1.0), counts > 0
+        found = [(unpacked_keys(k), unpacked(p, "<f4")) for k, p in of(STRINGS)]
+        keys, p = (np.concatenate([f[i] for f in found]) for i in (0, 1))
+        order = np.argsort(keys, kind="stable")
+        keys, p = keys[order], p[order].astype(float)
+        del found, order
         out = []
-        for blob in chunk.column("blob").to_pylist():
-            ids, texts = unpacked(blob)
-            number = defaultdict()
-            number.default_factory = number.__len__
+        for blob in chunk.column("keys").to_pylist():
+            ids, texts = chunk_texts(blob)
             rows = []
             for doc, text in zip(ids, texts):
                 words = np.fromiter(map(number.__getitem__, text.split()), np.int64)
@@ -466,9 +451,10 @@ def _scorer(depth: int, tokens: int, distinct: int, ends: int):
                 rows.append((doc, held_out(doc), len(words) + 1, int(known[words].sum()) + (ends > 0), tokens, base, 0.0, len(text)))
             columns = list(zip(*rows))
             columns[6] = []
-            for part in _slices(texts):
+            for part in _portions(texts):
                 own, begins = strings(part, depth)
-                columns[6] += np.add.reduceat(p[np.searchsorted(keys, own)], begins).tolist()
+                own, place = np.unique(own, return_inverse=True)
+                columns[6] += np.add.reduceat(p[np.searchsorted(keys, own)][place], begins).tolist()
             out.append(out_batch(_SCORED_ARROW, columns))
         return pa.Table.from_batches(out, _SCORED_ARROW)
 
@@ -476,20 +462,30 @@ def _scorer(depth: int, tokens: int, distinct: int, ends: int):
 
 
 def score(docs: DataFrame, chunk: int = CHUNK, depth: int = DEPTH) -> DataFrame:
-    """Scores of each row of docs (doc_id, text), learned from the rows that held_out leaves."""
-    parts = stored(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_gather(chunk, depth), _PARTS_SQL), "lm-parts")
-    same = Window.partitionBy("h")
-    words = parts.filter(F.col("kind") == WORD).select("h", "chunk", "idx", "n")
-    summed = words.select("chunk", "idx", F.sum("n").over(same).alias("c"), (F.min("chunk").over(same) == F.col("chunk")).alias("first"))
-    totals = stored(summed, "lm-totals")
-    tokens, distinct = totals.filter("first AND c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    chunks = parts.filter(F.col("kind") == TEXTS).select("chunk", "blob", "n")
-    ends = chunks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    found = parts.filter(F.col("kind") == STRINGS).select("h", "chunk", "n")
-    sums = stored(found.groupBy("h").agg(F.sum("n").alias("n")), "lm-strings")
-    logs = found.join(byte_logs(sums, depth), "h").select("chunk", F.lit(STRINGS).alias("kind"), F.lit(None).cast("int").alias("idx"), F.col("h").alias("c"), "p")
-    known = totals.select("chunk", F.lit(WORD).alias("kind"), "idx", "c", F.lit(None).cast("double").alias("p")).union(logs)
-    scorer = _scorer(depth, tokens + ends, distinct + (ends > 0), ends)
-    scored = chunks.select("chunk", "blob").groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(scorer, _SCORED)
+    """Scores of each row of docs (doc_id, text), learned from the rows that held_out leaves. depth: 2 to 6."""
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    parts = stored(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_gather(chunk, depth), _PARTS_SQL), "lm-parts", "uncompressed")
+    texts, rows = parts.filter(F.col("kind") == TEXTS), parts.filter(F.col("kind") != TEXTS)
+    chunks, ends = texts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    totals = shard_totals(rows, chunks)
+    tops = totals.mapInArrow(_tops_of(depth), "id bigint, z double, o double, below double, tokens bigint, distinct bigint")
+    tops = tops.groupBy("id").agg(*(F.sum(c).alias(c) for c in _TOPS.names[1:])).toArrow()  # at most 256 * 255 sums, and one row of the words'
+    named = tops.column("id").is_valid()
+    words = tops.filter(pc.invert(named))
+    tokens, distinct = (words.column(c)[0].as_py() if words.num_rows else 0 for c in ("tokens", "distinct"))
+    top = spark.sparkContext.broadcast(upper_levels(tops.filter(named)))
+
+    served = -(-max(1, chunks) // SERVED)
+    lookups = rows.select("kind", "shard", F.pmod(F.xxhash64("chunk"), F.lit(served)).alias("part"), "chunk", "keys", "held")
+    models = totals.select("kind", "shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(served - 1).cast("long"))).alias("part"), F.lit(None).cast("long").alias("chunk"), "keys", "held")
+    order = ("kind", "shard", "part")
+    met = models.union(lookups).repartition(*order).sortWithinPartitions(*order, F.col("chunk").asc_nulls_first())
+    answers = met.mapInArrow(_answerer(depth, top), "chunk bigint, kind tinyint, keys binary, held binary")
+
+    tasks = max(1, -(-chunks // 2))  # by bytes: two chunks to a task
+    scorer = _scorer(depth, (tokens or 0) + ends, (distinct or 0) + (ends > 0), ends)
+    left, right = (x.repartition(tasks, "chunk").groupBy("chunk") for x in (texts.select("chunk", "keys"), answers))
+    scored = left.cogroup(right).applyInArrow(scorer, _SCORED)
     bits = F.when(F.col("n_bytes") > 0, -F.col("score") * F.lit(float(np.log2(10))) / F.col("n_bytes"))
     return scored.withColumn("bits_per_byte", bits)

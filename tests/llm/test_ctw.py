@@ -135,24 +135,36 @@ def test_held_out_text_codes_better_than_shuffled_bytes(spark, tmp_path):
     assert bits[out[0]] < 2.5 < bits[out[1]]
 
 
-def test_few_nodes_still_give_probabilities(spark, tmp_path):
-    rows = [(d, prose(d, 60) + ("zq" * 40 if d % 5 == 0 else ""), *[None] * 7) for d in range(40)]
+def test_rounds_of_merging_and_split_shards_give_the_same(spark, tmp_path, monkeypatch):
+    """Many chunks, merged two at a time and served in parts of three, score as one chunk does."""
+    rows = [(d, prose(d, 40) + f" own{d}", *[None] * 7) for d in range(40)]
     docs = spark.read.parquet(write_tables(tmp_path, rows, [], [], []) + "/documents.parquet")
-    parts = docs.select("doc_id", "text").mapInArrow(ctw._gather(3000), ctw._PARTS_SQL).cache()
-    whole, few = ctw.train(parts), ctw.train(parts, limit=40)
-    for model in (whole, few):
-        assert np.allclose((10.0 ** model.rows.astype(float)).sum(axis=1), 1, atol=1e-4) and np.isfinite(model.rows).all()
-    assert all(len(few.contexts.keys[d]) <= 40 for d in range(2, ctw.DEPTH + 1)) and len(few.rows) < len(whole.rows)
-    # with every context a node, and with few, the counts of a depth are those of its positions
-    texts = [lower(t).encode() for d, t, *_ in rows if learns(d)]
-    for model in (whole, few):
-        for d in range(2, ctw.DEPTH + 1):
-            follow, padded = Counter(), [b"\0" * d + t + b"\0" for t in texts]
-            for t in padded:
-                follow.update(t[p - d : p] for p in range(d, len(t)))
-            found = model.contexts.counts(texts, d).reshape(-1, 256).sum(axis=1)
-            assert found.tolist() == [follow[int(k).to_bytes(d, "big")] for k in model.contexts.keys[d]]
-    assert whole.scores(texts).sum() > few.scores(texts).sum()
+    whole = {r["doc_id"]: r.asDict() for r in ctw.score(docs).collect()}
+    monkeypatch.setattr(ctw, "FAN", 2)
+    monkeypatch.setattr(ctw, "SERVED", 3)
+    for r in ctw.score(docs, 700).collect():
+        want = whole[r["doc_id"]]
+        assert r.asDict() == {**want, **{k: pytest.approx(want[k], rel=1e-9) for k in ("score", "base_score", "bits_per_byte")}}
+
+
+def test_every_context_gives_probabilities():
+    texts = [prose(d, 60).lower().encode() for d in range(5)]
+    keys, n = np.unique(ctw.strings(texts, ctw.DEPTH)[0], return_counts=True)
+    every = np.unique((keys[::37] >> 8 << 8)[:, None] | np.arange(256))  # all bytes after some contexts; most never occurred
+    both, place = np.unique(np.concatenate([keys, every]), return_inverse=True)
+    own = ctw.Subtrees(both, np.bincount(place, np.concatenate([n, np.zeros(len(every), int)])).astype(np.int64), ctw.DEPTH)
+    top = ctw.upper_levels(ctw.pa.table(dict(zip(("id", "z", "o", "below"), own.tops))))
+    p = 10.0 ** own.logs(top)[np.searchsorted(both, every)]
+    assert np.allclose(p.reshape(-1, 256).sum(axis=1), 1)
+
+
+def test_packed_numbers_and_words():
+    r = np.random.default_rng(3)
+    keys = np.unique(r.integers(0, 1 << 48, 1000))
+    assert (ctw.unpacked_keys(ctw.packed_keys(keys)) == keys).all() and len(ctw.unpacked_keys(ctw.packed_keys(keys[:0]))) == 0
+    assert ctw.unpacked_words(ctw.packed_words([b"a", b"b\x00"])) == [b"a", b"b\x00"]
+    a, n = ctw.summed(np.array([3, 1, 3, 0]), np.array([1, 2, 3, 4]))
+    assert a.tolist() == [0, 1, 3] and n.tolist() == [4, 2, 4]
 
 
 def test_certain_bytes_keep_finite_scores(spark, tmp_path):
