@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import weakref
@@ -100,7 +101,8 @@ def by_hash(df: DataFrame, key: str, limit: int) -> DataFrame:
 
 
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
-    """A file system that driver and executors can open, for a URI or an absolute path."""
+    """A file system that driver and executors can open, for a URI or an absolute path; s3a and s3n mean s3."""
+    uri = re.sub("^s3[an]://", "s3://", uri)
     return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else "file://" + os.path.abspath(uri))
 
 

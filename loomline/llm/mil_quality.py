@@ -1,10 +1,10 @@
 """Document quality by attention-based multiple-instance learning.
 
 A text is a bag of passages of ``PASSAGE`` words. Every passage is encoded as shares of letter classes, word lengths, stop
-words, repeats and the like, then by a learned layer. Gated attention, learned from document labels only, weighs the
-passages, and the weighted representation gives the score. Training uses the labelled documents that are not held out,
-at most ``sample`` of at most ``sample_bytes`` bytes each (those with the smallest hash of their id: documented bounds that
-hold for training alone); every passage of every text is scored.
+words, repeats and the like and as shares of its words by hash (``BUCKETS`` of them), then by a learned layer. Gated attention, learned
+from document labels only, weighs the passages, and the weighted representation gives the score. Training uses the labelled documents that exist and are not held out,
+at most ``sample`` of them (those with the smallest hash of their id), with at most ``bag`` passages each, evenly spread over the
+text: documented bounds that hold for training alone; every passage of every text is scored.
 
 Scores read texts only. Nulls and texts without words are one passage of zeros. Labels that are null are left out, and several of
 one document are averaged. Repeated rows are scored each; of rows that repeat a labelled doc_id one
@@ -19,10 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import by_hash, out_batch, remainder, text_bytes
+from loomline.llm.common import bounded_batches, by_hash, discard, out_batch, remainder, slices, stored
 from loomline.llm.quality_rules import STOP_WORDS
 
-PASSAGE, SAMPLE, SAMPLE_BYTES, SEED = 64, 6000, 1 << 16, 7
+PASSAGE, SAMPLE, BAG, SEED = 64, 6000, 64, 7
 MODULUS, HELD_OUT = 3, 1
 BUCKETS = 128
 BLANK, LOWER, UPPER, DIGIT, SYMBOL, CRY, POINT, BEYOND = range(8)
@@ -40,7 +40,7 @@ _CLASS = _classes()
 _LOW = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint64)
 _LOW[[b for b in range(256) if _CLASS[b] in (BLANK, SYMBOL, CRY, POINT)]] = 0
 _COEFFICIENT = np.random.default_rng(SEED).integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-FEATURES = 26
+FEATURES = 26 + BUCKETS
 
 
 def _hash(word: str) -> int:
@@ -94,7 +94,7 @@ def passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         *(count(m) / share for m in (stop, head == UPPER, (uppers >= 2) & (lowers == 0), marks > 0, marks >= 3, back(1), back(2), size == 1, size > 12, tail == 46, tail == 44, raw[ends] == 10, hashes == 0)),
         (filled > 0).sum(axis=1) / share, filled.max(axis=1) / share,
     ]
-    return np.concatenate([np.stack(columns, axis=1), shape], axis=1).astype(np.float32), per_doc
+    return np.concatenate([np.stack(columns, axis=1), shape, filled / share[:, None]], axis=1).astype(np.float32), per_doc
 
 
 class AttentionModel:
@@ -161,23 +161,30 @@ class AttentionModel:
         return self
 
 
-def _encode(batches):
+def _encoder(bag: int):
     schema = pa.schema([("y", pa.float64()), ("n", pa.int64()), ("x", pa.binary())])
-    for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
-            x, sizes = passages(text_bytes(part, "text"))
-            ends = np.cumsum(sizes)
-            yield out_batch(schema, (part.column("y"), sizes, [x[e - n : e].tobytes() for e, n in zip(ends, sizes)]))
+
+    def encode(batches):
+        for batch in batches:
+            for part, data in slices(batch, "text"):
+                x, sizes = passages(data)
+                ends = np.cumsum(sizes)
+                kept = [np.unique(np.linspace(e - n, e - 1, min(n, bag)).astype(int)) for e, n in zip(ends, sizes)]
+                yield out_batch(schema, (part.column("y"), [len(k) for k in kept], [x[k].tobytes() for k in kept]))
+
+    return encode
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> AttentionModel:
-    """A model from at most ``sample`` labelled documents that are not held out."""
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bag: int = BAG) -> AttentionModel:
+    """A model from at most ``sample`` labelled documents that are not held out, with at most ``bag`` passages each."""
+    texts = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     known = labels.filter(F.col("quality").isNotNull() & (remainder(F.col("doc_id"), MODULUS) != HELD_OUT))
-    rated = by_hash(known, "doc_id", sample).groupBy("doc_id").agg(F.avg("quality").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    short = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter(F.octet_length("text") <= sample_bytes)
-    once = short.join(F.broadcast(rated), "doc_id").groupBy("doc_id").agg(F.first("y").alias("y"), F.min("text").alias("text"))
-    rows = once.select("y", "text").mapInArrow(_encode, "y double, n bigint, x binary").toArrow()
+    known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.avg("quality").alias("y"))
+    there = stored(known.join(texts.select("doc_id"), "doc_id", "left_semi"), "rated")
+    rated = by_hash(there, "doc_id", sample).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    once = texts.join(F.broadcast(rated), "doc_id").groupBy("doc_id").agg(F.first("y").alias("y"), F.min("text").alias("text"))
+    rows = once.select("y", "text").mapInArrow(_encoder(bag), "y double, n bigint, x binary").toArrow()
+    discard(there)
     sizes = rows.column("n").to_numpy()
     x = np.frombuffer(b"".join(rows.column("x").to_pylist()), np.float32).reshape(-1, FEATURES)
     return AttentionModel().fit(x, sizes, rows.column("y").to_numpy())
@@ -189,9 +196,8 @@ def _scorer(model):
     def score(batches):
         own = model.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                x, sizes = passages(text_bytes(part, "text"))
+            for part, data in slices(batch, "text", 1 << 20):
+                x, sizes = passages(data)
                 yield out_batch(schema, (part.column("doc_id"), own.score(x, sizes), sizes))
 
     return score
@@ -199,6 +205,7 @@ def _scorer(model):
 
 def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score, predicted and n_passages of each row of docs (doc_id, text)."""
+    bounded_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, sample))
     scored = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_scorer(model), "doc_id bigint, score double, n_passages bigint")
     held = (remainder(F.col("doc_id"), MODULUS) == HELD_OUT).alias("held_out")
