@@ -2,39 +2,49 @@
 
 Base patterns (email, ip, card, phone) give spans that always stay. Wider patterns give candidates: all base spans, and
 strings that might be an address spelt out, a secret, a card number that fails its check digit or a phone number in national
-form. Labelers vote on each (1 for, -1 against, 0 abstains): the strict pattern, a gazetteer of words before it, its
-surroundings, and its own make-up (check digits, variety of letters). A candidate is fully described by a signature
+form, of any length. Labelers vote on each (1 for, -1 against, 0 abstains): the strict pattern, a gazetteer (top-level domains, given names, calling
+codes, card issuers, prefixes of keys, blocks of private addresses), cue words before it, its surroundings, and its own make-up (check digits, variety of letters). A candidate is fully described by a signature
 (kind, votes, shape), of which there are few, so counts by signature carry all that learning needs from all documents:
 expectation-maximisation estimates how reliable each labeler is, and its posteriors train a logistic span classifier.
-Candidates that it accepts, and that overlap no base span, are added.
+Candidates that it accepts, and that overlap no base span, are added; of accepted ones that overlap, the likelier stays, then
+the earlier, then the longer, then the kind as listed.
 
 Nulls are empty texts and have no spans. Repeated rows are each reported and each count in learning. With an empty table
-or no candidates nothing is learned or added. Whole texts are read in linear time. Extra columns pass through ``redact``.
+or no candidates nothing is learned or added. Whole texts are read in linear time. Extra columns of any name pass through ``redact``.
 """
 
 from __future__ import annotations
 
-import hashlib
+import bisect
 import re
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType, StructField, StructType
 
-from loomline.llm.common import rows_of, stored, texts
+from loomline.llm.common import bounded_batches, free, slices, stored
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 BASE = KINDS[:4]
-LABELERS = ("pattern", "gazetteer", "context", "make_up")
+LABELERS = ("pattern", "gazetteer", "cue", "context", "make_up")
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_SPELT = re.compile(r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{1,64} ?[\[(]at[\])] ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|[\[(]dot[\])]) ?[A-Za-z0-9-]{1,63})+", re.I)
+_SPELT = re.compile(r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]++ ?[\[(]at[\])] ?[A-Za-z0-9-]++(?: ?(?:\.|[\[(]dot[\])]) ?[A-Za-z0-9-]++)+", re.I)
+_AT = re.compile(r"[\[(]at[\])]", re.I)
 _NATIONAL = re.compile(r"(?<![0-9+.)-])\(?[0-9]{3}\)?[ .-][0-9]{3}[.-][0-9]{4}(?![0-9-])")
-_SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,256}(?![A-Za-z0-9+/_-])")
+_SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+")
+#: The gazetteer.
+DOMAINS = frozenset("com org net edu gov int io co info biz dev app de fr es it uk eu us nl ch at be pl pt se no dk fi cz ru cn jp in br ca au mx".split())
+GIVEN_NAMES = frozenset("anna maria john james mary david peter paul laura sarah thomas michael robert jane jean marie pierre louis hans karl julia carlos jose juan luis ana pablo sofia emma lucas".split())
+CALLING_CODES = ("1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "54", "55", "56", "57", "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91", "92", "94", "98", "351", "352", "353", "358", "420", "421")
+ISSUERS = ("4", "51", "52", "53", "54", "55", "2221", "2720", "34", "37", "35", "36", "38", "6011", "65")
+KEY_PREFIXES = ("sk-", "sk_", "pk_", "rk_", "ghp_", "gho_", "ghs_", "xox", "AKIA", "ASIA", "AIza", "glpat-", "eyJ")
+PRIVATE_BLOCKS = ("0.", "10.", "127.", "169.254.", "192.168.", "255.")
 _WORDS = {
     "email": re.compile(r"\b(?:e-?mail|mail|contact|write|address|adresse|correo|courriel)\b", re.I),
     "ip": re.compile(r"\b(?:ip|host|server|from|client|address)\b", re.I),
@@ -96,6 +106,17 @@ def joined(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for a, b, k in spans)
 
 
+def _listed(span: str, kind: str) -> int:
+    """The gazetteer's vote."""
+    if kind == "email":
+        return 1 if re.split(r"[^a-z]+", low := span.lower())[-1] in DOMAINS or not GIVEN_NAMES.isdisjoint(re.split(r"[^a-z]+", low)) else 0
+    if kind == "ip":
+        return -1 if span.startswith(PRIVATE_BLOCKS) else 1
+    if kind == "phone":
+        return 1 if not span.startswith("+") or _digits(span).startswith(CALLING_CODES) else -1
+    return 1 if span.startswith(ISSUERS if kind == "card" else KEY_PREFIXES) else 0
+
+
 def _votes(text: str, a: int, b: int, kind: str, strict: bool) -> str:
     """The signature of a candidate: kind, votes of the labelers, length class, digit class."""
     span, before, after = text[a:b], text[max(0, a - 32) : a], text[b : b + 8]
@@ -112,65 +133,60 @@ def _votes(text: str, a: int, b: int, kind: str, strict: bool) -> str:
         make = {
             "email": 1 if letters >= 3 else -1,
             "ip": 1 if not span.startswith("0") else -1,
-            "card": 1 if luhn(_digits(span)) and span[0] in "23456" else -1,
+            "card": 1 if luhn(_digits(span)) and len(set(_digits(span))) >= 3 else -1,
             "phone": 1 if 10 <= digits <= 15 and len(set(_digits(span))) >= 4 else -1,
         }[kind]
-    return f"{kind}|{1 if strict else -1}|{words}|{context}|{make}|{min(len(span) // 8, 6)}|{4 * digits // max(1, len(span))}"
+    return f"{kind}|{1 if strict else -1}|{_listed(span, kind)}|{words}|{context}|{make}|{min(len(span) // 8, 6)}|{4 * digits // max(1, len(span))}"
 
 
 def candidates(text: str, base: list[tuple[int, int, str]], failed: list[tuple[int, int]]) -> list[tuple[int, int, str, str, bool]]:
     """(start, end, kind, signature, is base) of the base spans and of what overlaps none of them."""
     out = [(a, b, k, _votes(text, a, b, k, True), True) for a, b, k in base]
     wide = [(a, b, "card") for a, b in failed]
-    if any(mark in text for mark in ("(at)", "[at]", "(AT)", "[AT]")):
+    if _AT.search(text):
         wide += [(*m.span(), "email") for m in _SPELT.finditer(text)]
     wide += [(*m.span(), "phone") for m in _NATIONAL.finditer(text)]
     wide += [(*m.span(), "secret") for m in _SECRET.finditer(text) if any("0" <= c <= "9" for c in m[0])]
-    taken, k = sorted((a, b) for a, b, _ in base), 0
-    last = 0
+    taken, k, end = sorted((a, b) for a, b, _ in base), 0, 0  # end: how far the base spans that begin before reach
     for a, b, kind in sorted(wide):
-        while k < len(taken) and taken[k][1] <= a:
-            k += 1
-        if a >= last and not (k < len(taken) and taken[k][0] < b):
-            out.append((a, b, kind, _votes(text, a, b, kind, kind == "secret" and bool(re.fullmatch(r"[0-9a-f]{32,}|[0-9A-F]{32,}", text[a:b]))), False))
-            last = b
+        while k < len(taken) and taken[k][0] <= a:
+            end, k = max(end, taken[k][1]), k + 1
+        if end <= a and not (k < len(taken) and taken[k][0] < b):
+            strict = kind == "secret" and bool(re.fullmatch(r"[0-9a-f]{32,}|[0-9A-F]{32,}", text[a:b]))
+            out.append((a, b, kind, _votes(text, a, b, kind, strict), False))
     return out
 
 
-_SPAN = "struct<start:bigint,end:bigint,kind:string,sig:string,base:boolean>"
+_SPANS = ArrayType(StructType([StructField("start", LongType()), StructField("end", LongType()), StructField("kind", StringType()), StructField("sig", StringType()), StructField("base", BooleanType())]))
 _SPAN_ARROW = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string()), ("sig", pa.string()), ("base", pa.bool_())])
 
 
-def _finder(text_col: str):
+def _finder(text_col: str, kept: list[int], name: str):
     def find(batches):
         for batch in batches:
-            for part in rows_of(batch):
+            for part, data in slices(batch, text_col):
                 rows = []
-                for text in texts(part, text_col):
-                    base, failed = base_spans(text)
-                    rows.append([dict(zip(("start", "end", "kind", "sig", "base"), c)) for c in candidates(text, base, failed)])
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(rows, pa.list_(_SPAN_ARROW))], names=[*part.schema.names, "__spans"])
+                for raw in data:
+                    text = raw.decode()
+                    rows.append([dict(zip(("start", "end", "kind", "sig", "base"), c)) for c in candidates(text, *base_spans(text))])
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in kept), pa.array(rows, pa.list_(_SPAN_ARROW))], names=[*(part.schema.names[i] for i in kept), name])
 
     return find
 
 
-def _schema(df: DataFrame) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-
-
 class SpanModel:
     """Labeler reliabilities by expectation-maximisation, and a logistic classifier trained on its posteriors."""
 
     def __init__(self, counts: dict[str, int], rounds: int = 50, steps: int = 400):
         self.signatures = sorted(counts)
         n = np.array([counts[s] for s in self.signatures], float)
-        votes = np.array([[int(v) for v in s.split("|")[1:5]] for s in self.signatures], int)
-        p = np.clip(0.5 + votes.sum(axis=1) / (2.0 * len(LABELERS)), 0.05, 0.95)  # start: the majority
+        votes = np.array([[int(v) for v in s.split("|")[1:-2]] for s in self.signatures], int)
+        p = np.clip(0.5 + votes.sum(axis=1) / (2.0 * votes.shape[1]), 0.05, 0.95)  # start: the majority
         for _ in range(rounds):
             prior = (n @ p + 1) / (n.sum() + 2)
             logit = np.full(len(n), np.log(prior / (1 - prior)))
             self.reliability = []
-            for j in range(len(LABELERS)):
+            for j in range(votes.shape[1]):
                 yes, no = ((np.array([(n * w)[votes[:, j] == v].sum() for v in (-1, 0, 1)]) + 1) for w in (p, 1 - p))
                 yes, no = yes / yes.sum(), no / no.sum()
                 self.reliability.append((yes, no))
@@ -197,30 +213,45 @@ class SpanModel:
             rows.append([1.0, *(kind == k for k in KINDS), *map(float, votes), *(int(long) == i for i in range(7)), *(int(digits) == i for i in range(5))])
         return np.array(rows, float)
 
-    def accepted(self) -> list[str]:
-        return [s for s, p in self.probability.items() if p >= 0.5]
+
+def resolved(spans: list[dict], probability: dict[str, float]) -> list[dict]:
+    """Base spans and accepted candidates, by start, then kind as listed."""
+    out = [s for s in spans if s["base"]]
+    wide = [s for s in spans if not s["base"] and probability[s["sig"]] >= 0.5]
+    taken: list[tuple[int, int]] = []
+    for s in sorted(wide, key=lambda s: (-probability[s["sig"]], s["start"], -s["end"], KINDS.index(s["kind"]))):
+        at = bisect.bisect(taken, (s["start"], s["end"]))
+        if not (at and taken[at - 1][1] > s["start"]) and not (at < len(taken) and taken[at][0] < s["end"]):
+            taken.insert(at, (s["start"], s["end"]))
+            out.append(s)
+    return sorted(out, key=lambda s: (s["start"], KINDS.index(s["kind"]), s["end"]))
 
 
-def _accepted(seen: DataFrame) -> DataFrame:
-    """seen with __spans cut to base spans and accepted candidates, by start, then kind as listed."""
-    sigs = seen.select(F.explode("__spans.sig").alias("sig")).groupBy("sig").agg(F.count("*").alias("n"))
+def candidate_table(docs: DataFrame, text_col: str, kept: list[str]) -> tuple[DataFrame, str]:
+    """The columns of docs to keep and one of candidates, stored, and its name: texts are searched once."""
+    bounded_batches(docs.sparkSession)
+    name = free(docs, "spans")
+    at = [docs.columns.index(c) for c in kept]
+    schema = StructType([*(docs.schema.fields[i] for i in at), StructField(name, _SPANS)])
+    return stored(docs.mapInArrow(_finder(text_col, at, name), schema), "spans"), name
+
+
+def learn(found: DataFrame, name: str) -> dict[str, float]:
+    """The probability of each signature that the candidates have, from all of them."""
+    sigs = found.select(F.explode(F.col(name)["sig"]).alias("sig")).groupBy("sig").agg(F.count("*").alias("n"))
     counts = {r["sig"]: r["n"] for r in sigs.collect()}  # bounded: kinds x votes x classes
-    good = F.array(*map(F.lit, SpanModel(counts).accepted() if counts else [])).cast("array<string>")
-    rank = F.create_map(*(F.lit(x) for i, k in enumerate(KINDS) for x in (k, i)))
-    keep = F.filter("__spans", lambda s: s["base"] | F.array_contains(good, s["sig"]))
-    fields = lambda s: F.struct(s["start"].alias("start"), rank[s["kind"]].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"), s["base"].alias("base"))
-    return seen.withColumn("__spans", F.sort_array(F.transform(keep, fields)))
+    return SpanModel(counts).probability if counts else {}
 
 
-def found_spans(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns of docs (or those to keep) with __spans. Texts are read once; learning and the result read what is stored."""
-    kept = docs.columns if keep is None else keep
+def _reporter(name: str, probability: dict[str, float]):
+    kinds = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string()), ("base", pa.bool_())]))
 
-    def find(batches):
-        for part in _finder(text_col)(batches):
-            yield part.select([*kept, "__spans"])
+    def settle(batches):
+        for batch in batches:
+            rows = [[{k: s[k] for k in ("start", "end", "kind", "base")} for s in resolved(r, probability)] for r in batch.column(name).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, kinds)], names=["doc_id", "spans"])
 
-    return _accepted(stored(docs.mapInArrow(find, f"{_schema(docs.select(kept))}, __spans array<{_SPAN}>"), "spans"))
+    return settle
 
 
 def _written(spans):
@@ -229,29 +260,31 @@ def _written(spans):
 
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, base counts, digest of the base spans, all spans as text, for each row of docs (doc_id, text)."""
-    found = found_spans(docs.select(F.col("doc_id").cast("long"), "text"), keep=["doc_id"])
-    own = F.filter("__spans", lambda s: s["base"])
-    number = lambda k: F.size(F.filter("__spans", lambda s: s["base"] & (s["kind"] == k))).cast("long").alias(f"n_{k}")
-    return found.select("doc_id", *map(number, BASE), F.sha2(_written(own).cast("binary"), 256).alias("base_sha256"), _written(F.col("__spans")).alias("spans"))
+    found, name = candidate_table(docs.select(F.col("doc_id").cast("long"), "text"), "text", ["doc_id"])
+    rows = found.mapInArrow(_reporter(name, learn(found, name)), "doc_id bigint, spans array<struct<start:bigint,end:bigint,kind:string,base:boolean>>")
+    own = F.filter("spans", lambda s: s["base"])
+    number = lambda k: F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == k))).cast("long").alias(f"n_{k}")
+    return rows.select("doc_id", *map(number, BASE), F.sha2(_written(own).cast("binary"), 256).alias("base_sha256"), _written(F.col("spans")).alias("spans"))
 
 
-def _redactor(text_col: str):
+def _redactor(text_at: int, probability: dict[str, float]):
     def redact(batches):
         for batch in batches:
             out = []
-            for was, spans in zip(batch.column(text_col), batch.column("__spans").to_pylist()):
+            for was, spans in zip(batch.column(text_at), batch.column(batch.num_columns - 1).to_pylist()):
                 text, parts, last = was.as_py(), [], 0
-                for s in spans or []:
+                for s in resolved(spans or [], probability):
                     if s["start"] >= last:
                         parts += [text[last : s["start"]], f"<{s['kind'].upper()}>"]
                     last = max(last, s["end"])
                 out.append("".join([*parts, text[last:]]) if parts else text)
-            names = [c for c in batch.schema.names if c != "__spans"]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == text_col else batch.column(c) for c in names], names=names)
+            columns = [pa.array(out, pa.string()) if i == text_at else batch.column(i) for i in range(batch.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
 
     return redact
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with each span of personal data replaced by its kind in angle brackets."""
-    return found_spans(docs, text_col).mapInArrow(_redactor(text_col), _schema(docs))
+    found, name = candidate_table(docs, text_col, docs.columns)
+    return found.mapInArrow(_redactor(docs.columns.index(text_col), learn(found, name)), docs.schema)
