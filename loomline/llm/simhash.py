@@ -4,9 +4,9 @@ Distinct fingerprints are cut into ``PARTS`` parts of bits. Two that differ in a
 of the parts, so each choice of PARTS - RADIUS parts makes a table of shards in which every close pair meets in at least
 one. A shard's BK-tree (children keyed by their integer distance to the parent) is searched by its own fingerprints along
 edges within the radius only. What a shard yields is a spanning forest of its links, so its output has fewer rows
-than its input. Shards over ``SHARD`` fingerprints are split: each split's tree meets the fingerprints of every
-split, pair by pair. Trees go to tasks with their shard rather than to all tasks: all trees together grow with the corpus,
-so no bound for a broadcast can be proven.
+than its input. A shard over ``SHARD`` fingerprints is cut again in the same way by the bits it doesn't agree on: 32 are left
+after the first cut, 16 after the second and 8 after the third, when no shard has over 256. Splits of a shard never meet pair by pair. Trees
+go to tasks with their shard rather than to all tasks: all trees together grow with the corpus, so no bound for a broadcast can be proven.
 
 Components come from star contraction over the links (pre-aggregated minima, then a join), and the table is cut from its
 lineage each round. Nothing of a document's size or number is collected.
@@ -25,9 +25,9 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomline.llm.common import discard, out_batch, rows_of, stored, text_bytes
+from loomline.llm.common import bounded_batches, col, discard, free, out_batch, slices, stored
 
-BITS, RADIUS, PARTS, SHARD, SEED = 64, 2, 4, 4096, 42
+BITS, RADIUS, PARTS, SHARD, LEVELS, SEED = 64, 2, 4, 4096, 3, 42
 #: Trees of fewer fingerprints are built node by node; larger ones level by level with numpy.
 SMALL = 48
 
@@ -54,8 +54,8 @@ def fingerprint(text: bytes, size: int = 3) -> int:
 def _fingerprints(batches):
     schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
     for batch in batches:
-        for part in rows_of(batch, 256):
-            found = np.array([fingerprint(x) for x in text_bytes(part, "text")], "u8").view("i8")
+        for part, data in slices(batch, "text"):
+            found = np.array([fingerprint(x) for x in data], "u8").view("i8")
             yield out_batch(schema, (part.column("doc_id"), found))
 
 
@@ -133,17 +133,15 @@ class Forest:
             self.links.append((a, b))
 
 
-def shard_links(left: np.ndarray, right: np.ndarray | None, radius: int = RADIUS) -> list[tuple[int, int]]:
-    """A spanning forest of the links within left, or between left and right."""
-    forest, other = Forest(), left if right is None else right
-    if len(left) < SMALL:
+def shard_links(own: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
+    """A spanning forest of the links within a shard's distinct fingerprints."""
+    forest = Forest()
+    if len(own) < SMALL:
         tree = BKTree()
-        for x in left.tolist():
+        for x in own.tolist():
+            for y in tree.within(x, radius):
+                forest.join(y, x)
             tree.add(x)
-        for q in other.tolist():
-            for x in tree.within(q, radius):
-                if x != q:
-                    forest.join(x, q)
     else:
 
         def joined(node, close):
@@ -151,7 +149,7 @@ def shard_links(left: np.ndarray, right: np.ndarray | None, radius: int = RADIUS
                 if q != node:
                     forest.join(int(node), q)
 
-        bulk_links(left, other, radius, joined)
+        bulk_links(own, own, radius, joined)
     return forest.links
 
 
@@ -159,16 +157,14 @@ def _search(radius: int):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def search(batches):
-        """Rows come sorted by shard (t, key, i, j) and side; a shard is handled when the next begins."""
+        """Rows come sorted by shard (mask, key); a shard is searched when the next begins."""
         held: list[np.ndarray] = []
 
         def links(rows: np.ndarray):
-            same = np.flatnonzero(np.any(rows[1:, :4] != rows[:-1, :4], axis=1)) + 1
+            same = np.flatnonzero(np.any(rows[1:, :2] != rows[:-1, :2], axis=1)) + 1
             for lo, hi in zip([0, *same], [*same, len(rows)]):
                 if hi - lo > 1:
-                    group = rows[lo:hi]
-                    own, fp = group[:, 4] == group[:, 2], group[:, 5].view("u8")
-                    yield from shard_links(fp[own], None if group[0, 2] == group[0, 3] else fp[~own], radius)
+                    yield from shard_links(rows[lo:hi, 2].view("u8"), radius)
 
         def batch_of(found):
             pairs = np.array(list(found), "u8").reshape(-1, 2).view("i8")
@@ -179,11 +175,11 @@ def _search(radius: int):
             if not len(rows):
                 continue
             held.append(rows)
-            last = rows[-1, :4]
-            if (rows[0, :4] == last).all():
+            last = rows[-1, :2]
+            if (rows[0, :2] == last).all():
                 continue
             rows = np.concatenate(held)
-            cut = int(np.flatnonzero(np.any(rows[:, :4] != last, axis=1))[-1]) + 1
+            cut = int(np.flatnonzero(np.any(rows[:, :2] != last, axis=1))[-1]) + 1
             held = [rows[cut:].copy()]
             yield batch_of(links(rows[:cut]))
         if held:
@@ -192,21 +188,41 @@ def _search(radius: int):
     return search
 
 
+def agreed_bits(mask: int, radius: int = RADIUS, parts: int = PARTS) -> list[int]:
+    """The masks by which a shard whose fingerprints agree on the bits of mask is cut: those bits and all but radius parts of the rest."""
+    rest = [b for b in range(BITS) if not mask >> b & 1]
+    edges = [len(rest) * p // parts for p in range(parts + 1)]
+    own = [sum(1 << b for b in rest[lo:hi]) for lo, hi in zip(edges, edges[1:])]
+    return [mask | sum(chosen) for chosen in combinations(own, parts - radius)]
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
 def close_pairs(fingerprints: DataFrame, radius: int = RADIUS, parts: int = PARTS, shard: int = SHARD) -> DataFrame:
-    """Links (a, b) that connect all distinct fingerprints (column fp) within radius of each other; not all pairs."""
-    width = BITS // parts
-    masks = [sum(((1 << width) - 1) << (width * p) for p in chosen) for chosen in combinations(range(parts), parts - radius)]
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    keys = F.array(*(F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("key")) for t, m in enumerate(signed)))
-    dealt = fingerprints.select("fp", F.inline(keys))
-    sizes = dealt.groupBy("t", "key").agg(F.count("*").alias("n")).filter(F.col("n") > 1)
-    splits = F.ceil(F.col("n") / F.lit(shard)).cast("int")
-    own = F.pmod(F.xxhash64("fp"), F.col("splits")).cast("int")
-    met = dealt.join(sizes.select("t", "key", splits.alias("splits")), ["t", "key"]).withColumn("own", own)
-    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("splits") - 1)))
-    shards = met.select("t", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "fp")
-    order = ["t", "key", "i", "j"]
-    return shards.repartition(*order).sortWithinPartitions(*order, "own", "fp").mapInArrow(_search(radius), "a bigint, b bigint")
+    """Links (a, b) that connect all distinct fingerprints (column fp) within radius of each other; not all pairs.
+
+    A shard over ``shard`` fingerprints is cut again by the bits that it doesn't agree on yet, up to ``LEVELS`` times.
+    """
+    long = lambda x: F.lit(_signed(x)).cast("long")
+    found, rows, masks = None, fingerprints.select("fp", long(0).alias("mask")), [0]
+    for level in range(1, LEVELS + 1):
+        finer = {m: agreed_bits(m, radius, parts) for m in masks}
+        cuts = F.create_map(*(x for m, own in finer.items() for x in (long(m), F.array(*map(long, own)))))
+        dealt = rows.select("fp", F.explode(cuts[F.col("mask")]).alias("mask")).withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
+        sizes = dealt.groupBy("mask", "key").agg(F.count("*").alias("n")).filter("n > 1")
+        met = dealt.join(sizes, ["mask", "key"])
+        if level < LEVELS:
+            met = stored(met, "shards")
+        whole = met if level == LEVELS else met.filter(F.col("n") <= shard)
+        own = whole.select("mask", "key", "fp").repartition("mask", "key").sortWithinPartitions("mask", "key", "fp")
+        links = own.mapInArrow(_search(radius), "a bigint, b bigint")
+        found = links if found is None else found.union(links)
+        rows = met.filter(F.col("n") > shard).select("fp", "mask")
+        if level == LEVELS or rows.isEmpty():
+            return found
+        masks = [f for own in finer.values() for f in own]
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -230,15 +246,25 @@ def components(links: DataFrame) -> DataFrame:
         before = seen
 
 
+def one_row_each(docs: DataFrame) -> DataFrame:
+    """The rows of docs, of those that repeat a doc_id only the one whose text has the smallest hash."""
+    nth = free(docs, "nth")
+    numbered = docs.withColumn(nth, F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))))
+    return numbered.filter(col(nth) == 1).drop(col(nth))
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """doc_id, fp (signed), component_id: the smallest doc_id that links reach, for each row of docs (doc_id, text)."""
+    bounded_batches(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("long"), "text")
     prints = stored(source.mapInArrow(_fingerprints, "doc_id bigint, fp bigint"), "prints")
     firsts = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "firsts")
-    roots = components(close_pairs(firsts.select("fp"), radius)).withColumnRenamed("node", "fp")
+    links = components(close_pairs(firsts.select("fp"), radius))
+    roots = links.withColumnRenamed("node", "fp")
     rooted = firsts.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     per_print = stored(rooted.join(ids, "root", "left").select("fp", "component_id"), "component")
+    discard(firsts, links)
     return prints.join(per_print, "fp", "left").select("doc_id", "fp", "component_id")
 
 
@@ -249,7 +275,5 @@ def keep_first(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """
     unnamed, docs = docs.filter("doc_id is null"), docs.filter("doc_id is not null")
     found = near_duplicates(docs, radius)
-    stay = found.filter(F.col("component_id") == F.col("doc_id")).select("doc_id").distinct()
-    left = docs.join(stay, "doc_id", "left_semi").select(docs.columns)
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    return left.withColumn("__nth", nth).filter("__nth = 1").drop("__nth").union(unnamed)
+    stay = found.filter(F.col("component_id") == F.col("doc_id")).select(F.col("doc_id").alias("stays")).distinct()
+    return one_row_each(docs.join(stay, F.col("doc_id") == F.col("stays"), "left_semi")).union(unnamed)
