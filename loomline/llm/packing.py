@@ -6,7 +6,8 @@ descending order: a segment tree over remaining capacities finds the tightest op
 equal pieces and equal bins move in one step. The result is the packing that document-by-document best fit makes. Executors
 then give every piece its rank among those of its length (a count per input task, then a running sum), and the rank its place.
 
-Nulls are empty texts and hold the end id. Repeated rows are packed each. An empty table gives no row.
+Nulls and empty texts hold the end id. Repeated rows are packed each. Ties (pieces of one length) take places in the order of their
+tasks. Very long texts are cut into pieces of the whole capacity. An empty table gives no row. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomline.llm.common import out_batch, rows_of, stored, texts
+from loomline.llm.common import bounded_batches, out_batch, rows_of, stored, texts
 from loomline.llm.tokens import default_path, encoder
 
 CAPACITY, END_ID = 1024, 2
@@ -161,6 +162,7 @@ def assign(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """Pieces of docs (doc_id, text) with their place: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    bounded_batches(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("long"), "text")
     schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, task bigint, rank bigint"
     pieces = stored(source.mapInArrow(_pieces(tokenizer or default_path(), capacity, end_id), schema), "pieces")

@@ -6,7 +6,7 @@ arrays (doc_id, offset, bytes, tokens); a JSON footer with the dictionary's hash
 footer's length as 8 bytes; ``TIDS0001``. One document is read with the footer, the index and one ranged read.
 
 The dictionary is trained on a bounded sample (``samples`` documents of at most ``sample_bytes`` bytes, those with the
-smallest hash of their id, looked for among twice as many rows): it decides sizes only, never contents. Without enough samples frames have no dictionary.
+smallest hash of their id): it decides sizes only, never contents. Without enough samples frames have no dictionary, and a warning says so.
 
 Nulls are empty texts and hold the end id alone. Rows that repeat a doc_id are ordered by the hash of their text. An
 empty table gives no shard. Long texts are one frame. A task that runs twice writes two files; only the files that
@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import json
 import uuid
+import warnings
 import zlib
 from dataclasses import dataclass
 from itertools import accumulate
@@ -28,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm.common import by_hash, open_fs, out_batch, rows_of, texts
+from loomline.llm.common import bounded_batches, by_hash, open_fs, out_batch, rows_of, texts
 from loomline.llm.tokens import default_path, encoder
 
 MAGIC, LEVEL, END_ID = b"TIDS0001", 3, 2
@@ -45,13 +46,14 @@ class Shard:
 
 def train_dictionary(docs: DataFrame, tokenizer: str, samples: int = 1000, sample_bytes: int = 8192, size: int = 32768) -> bytes:
     """A dictionary from the serialized ids of at most ``samples`` short documents; b'' if they are too few."""
-    short = by_hash(docs, "doc_id", samples).filter(F.octet_length("text").between(1, sample_bytes)).select("doc_id", "text")
-    rows = short.orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(samples).collect()
+    short = docs.filter(F.octet_length("text").between(1, sample_bytes)).select("doc_id", "text")
+    rows = by_hash(short, "doc_id", samples).orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(samples).collect()
     own = encoder(tokenizer)
     kind = _width(own.vocab_size)
     try:
         return zstandard.train_dictionary(size, [np.array(x, kind).tobytes() for x in own.encode([r["text"] for r in rows])]).as_bytes()
-    except zstandard.ZstdError:
+    except zstandard.ZstdError as e:
+        warnings.warn(f"no dictionary from {len(rows)} documents of at most {sample_bytes} bytes: {e}", stacklevel=2)
         return b""
 
 
@@ -94,6 +96,7 @@ def _writer(folder: str, tokenizer: str, dictionary: bytes, end_id: int):
 def write_files(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int = END_ID) -> list[Shard]:
     """Write docs (doc_id, text) to folder; the shards in ascending doc_id order, one for each range of ids."""
     tokenizer = tokenizer or default_path()
+    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     fs, at = open_fs(folder)
     fs.create_dir(at, recursive=True)
@@ -138,6 +141,16 @@ class ShardFile:
         """The ids of the k-th document."""
         return np.frombuffer(self._press.decompress(self._read(int(self.offsets[k]), int(self.sizes[k]))), self.kind)
 
+    def runs(self, size: int = 8 << 20):
+        """(first document, ids of each) of consecutive documents, of about ``size`` compressed bytes: one read for each run."""
+        at = 0
+        while at < self.documents:
+            to = max(at + 1, int(np.searchsorted(self.offsets, self.offsets[at] + size, side="right")) - 1)
+            to = self.documents if to >= self.documents - 1 and self.offsets[-1] + self.sizes[-1] <= self.offsets[at] + size else min(to, self.documents)
+            data, base = self._read(int(self.offsets[at]), int(self.offsets[to - 1] + self.sizes[to - 1] - self.offsets[at])), int(self.offsets[at])
+            yield at, (np.frombuffer(self._press.decompress(data[o - base : o - base + n]), self.kind) for o, n in zip(self.offsets[at:to].tolist(), self.sizes[at:to].tolist()))
+            at = to
+
     def document(self, doc_id: int) -> np.ndarray | None:
         k = int(np.searchsorted(self.doc_ids, doc_id))
         return self.ids(k) if k < self.documents and self.doc_ids[k] == doc_id else None
@@ -149,13 +162,12 @@ def _reader(batches):
         for path, base in zip(batch.column("path").to_pylist(), batch.column("base").to_pylist()):
             shard = ShardFile(path)
             starts = base + np.concatenate([[0], np.cumsum(shard.tokens)[:-1]]).astype("i8")
-            for at in range(0, shard.documents, 4096):
-                to = min(at + 4096, shard.documents)
+            for at, documents in shard.runs():
                 sums, lens = [], []
-                for k in range(at, to):
-                    ids = shard.ids(k)
+                for ids in documents:
                     lens.append(len(ids))
                     sums.append(zlib.crc32(ids.astype("<u4").tobytes()))
+                to = at + len(lens)
                 own = [None if d == -1 << 63 else d for d in shard.doc_ids[at:to].tolist()]
                 yield out_batch(schema, (own, starts[at:to], lens, sums))
 
