@@ -14,6 +14,9 @@ and ``<`` becomes ``\\l`` (in roles also a line feed ``\\n``), so a block mark n
 A null role, text or kind counts as '', '' and ``delta``; a null turn sorts first, as a turn of its own. Events with equal seq
 are ordered by kind, role and text; repeated rows are repeated events. Empty texts keep their block. An empty log gives
 no row. Other columns are not read.
+
+``log_of_turns`` makes a log of a table of finished turns: every row is one message, rows with equal or null turns and repeated rows too.
+They are numbered by turn (nulls first), role and text.
 """
 
 from __future__ import annotations
@@ -71,6 +74,15 @@ def reconstruct(events: DataFrame) -> DataFrame:
     )
 
 
+def log_of_turns(rows: DataFrame) -> DataFrame:
+    """Each row of rows (conv_id, turn, role, text) as one delta of a turn of its own."""
+    role, text = (F.coalesce(c, F.lit("")) for c in ("role", "text"))
+    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), role, text)
+    turn = F.row_number().over(order).cast("long")
+    numbered = rows.select("conv_id", turn.alias("turn"), role.alias("role"), text.alias("text"))
+    return numbered.withColumns({"seq": F.col("turn"), "kind": F.lit(DELTA)})
+
+
 def render(messages: DataFrame, learn: str = "assistant") -> DataFrame:
     """One row a conversation: the formatted text and its loss mask.
 

@@ -16,8 +16,10 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cache is this run's own and begins empty: every distinct text is encoded."""
-    counted = token_counts.count_tokens(table(spark, sf_dir, "documents"), scratch(spark, "token-cache"))
+    """The cache is this query's own and begins empty. The first run encodes every distinct text; the second, whose result this is, finds all counts."""
+    docs, cache = table(spark, sf_dir, "documents"), scratch(spark, "token-cache")
+    token_counts.count_tokens(docs, cache)
+    counted = token_counts.count_tokens(docs, cache)
     return counted.withColumn("over_limit", F.col("n_tokens") > token_counts.LIMIT)
 
 
@@ -30,11 +32,11 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def conversation_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each row of conversations as one delta, and conversation -7."""
+    """Each row of conversations as one message, and conversation -7."""
     hard = r"\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id bigint, turn bigint, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long"), "role", "text").unionByName(extra)
-    return rows.withColumns({"seq": F.col("turn"), "kind": F.lit(chat_events.DELTA)})
+    return chat_events.log_of_turns(rows)
 
 
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,9 +100,9 @@ _OP5 = rf"""
 WITH log AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok')
-SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
-  sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(14 + length(replace({_ESCAPED.format("role")}, chr(10), '\n')) + length({_ESCAPED.format("text")})) AS BIGINT) AS formatted_chars
 FROM log GROUP BY conv_id
 """
@@ -125,7 +127,7 @@ covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM twice, unnest(range(i, i
 m AS (SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(translate(t, {_BLANKS}, '')) AS BIGINT) AS word_chars,
   CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols, length(t) - length(replace(t, '!', '')) AS n_exclamations,
   CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, len(lines) AS n_lines, coalesce(covered.n, 0) AS n_repeat_words,
-  len(plain) AS n_plain_words, len(list_filter(plain, lambda x: x IN ({_STOPS}))) AS n_stop_words FROM w LEFT JOIN covered USING (doc_id)),
+  CASE WHEN 2 * (strlen(t) - length(t)) < length(translate(t, {_BLANKS}, '')) THEN len(plain) ELSE 0 END AS n_latin_words, len(list_filter(plain, lambda x: x IN ({_STOPS}))) AS n_stop_words FROM w LEFT JOIN covered USING (doc_id)),
 b AS (SELECT *, n_words < {quality_rules.MIN_WORDS} OR 100 * n_repeat_words > {quality_rules.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {" AND ".join(map(_rule_sql, quality_rules.RULES))} AS kept FROM b
 """

@@ -1,11 +1,12 @@
 """Token counts with a digest cache.
 
-The cache is a Parquet table (tokenizer, digest, n_tokens) in a shared folder. A run joins the digests of its texts with
-it, encodes each distinct text that has no count, appends those counts and joins again. Texts are normalised (by
+The cache is a Parquet table (digest, n_tokens), partitioned by tokenizer, in a shared folder. A run joins the digests of its texts with
+it, encodes each distinct text that has no count, appends those counts and joins again; where all have counts, no text is moved.
+``compact_cache`` rewrites what many runs appended. Texts are normalised (by
 default a null becomes the empty text and nothing else changes, so counts are those of the texts as they are) before
 they are hashed and encoded. The tokenizer's digest covers its file, so another version never meets old counts.
 
-Repeated rows and equal texts share one count and keep a row each. An empty table appends nothing. Very long texts are
+Repeated rows and equal texts (ties) share one count and keep a row each. An empty table appends nothing. Very long texts are
 encoded whole. Extra columns of docs are not read.
 """
 
@@ -15,10 +16,10 @@ import hashlib
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm.common import open_fs, out_batch, rows_of, stored
+from loomline.llm.common import bounded_batches, col, discard, open_fs, out_batch, rows_of, stored
 from loomline.llm.tokens import default_path, encoder
 
 LIMIT = 512
@@ -76,14 +77,28 @@ def count_tokens(
 ) -> DataFrame:
     """doc_id, n_bytes and n_tokens of the normalised text of each row; counts that were missing are in the cache afterwards."""
     spark, path = docs.sparkSession, tokenizer or default_path()
+    bounded_batches(spark)
     version = encoder(path).digest
-    content = no_null(normalise(F.col(text_col)))
-    once = docs.select(content.alias("text")).mapInArrow(_first_of_task, "digest binary, text string")
+    content = no_null(normalise(col(text_col)))
+    digest = F.unhex(F.sha2(content.cast("binary"), 256))
+    keyed = docs.select(col(id_col).alias("doc_id"), digest.alias("digest"), F.octet_length(content).cast("long").alias("n_bytes"))
+    keyed = stored(keyed, "digests")
     known = read_cache(spark, cache, version)
-    misses = once.join(known.select("digest"), "digest", "left_anti") if _exists(cache) else once
-    fresh = misses.repartition("digest").mapInArrow(_counter(path), "digest binary, n_tokens bigint")
-    fresh.withColumn("tokenizer", F.lit(version)).write.mode("append").parquet(cache)
-    keyed = docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.sha2(content.cast("binary"), 256)).alias("digest"), F.octet_length(content).cast("long").alias("n_bytes"))
+    missing = stored(keyed.select("digest").distinct().join(known.select("digest"), "digest", "left_anti"), "missing")
+    if not missing.isEmpty():
+        once = docs.select(content.alias("text")).mapInArrow(_first_of_task, "digest binary, text string")
+        if not known.isEmpty():
+            once = once.join(missing, "digest", "left_semi")
+        fresh = once.repartition("digest").mapInArrow(_counter(path), "digest binary, n_tokens bigint")
+        fresh.withColumn("tokenizer", F.lit(version)).write.mode("append").partitionBy("tokenizer").parquet(cache)
+    discard(missing)
     # left, and stored counts: a digest is always there, and between plain exchanges large partitions of a left join can be split
     # when copies share one digest
-    return keyed.join(stored(read_cache(spark, cache, version), "counts"), "digest", "left").select("doc_id", "n_bytes", "n_tokens")
+    counts = stored(read_cache(spark, cache, version), "counts")
+    return keyed.join(counts, "digest", "left").select("doc_id", "n_bytes", "n_tokens")
+
+
+def compact_cache(spark: SparkSession, cache: str, compacted: str, files: int) -> None:
+    """The cache, one row for each digest and tokenizer, as a new cache of about ``files`` files for each tokenizer."""
+    once = spark.read.schema(CACHE_SCHEMA).parquet(cache).groupBy("tokenizer", "digest").agg(F.max("n_tokens").alias("n_tokens"))
+    once.repartition(files, "digest").write.partitionBy("tokenizer").parquet(compacted)
