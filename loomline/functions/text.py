@@ -1,11 +1,12 @@
-"""Syllable, phone and name functions as Column expressions; only NFKC needs Arrow batches."""
+"""Syllable, phone and name functions as Column expressions; only NFKC and the spelling of numbers need Arrow batches."""
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -34,6 +35,7 @@ FINAL_PHONES = {
 #: vowel groups of voicebank aliases by final
 VOWEL_GROUP = {"ia": "a", "ua": "a", "uai": "ai", "uan": "an", "iang": "ang", "uang": "ang", "iao": "ao", "uei": "ei", "ie": "e0", "ve": "e0", "ue": "e0", "uen": "en", "ian": "en0", "van": "en0", "ueng": "eng", "uo": "o", "iong": "ong", "iou": "ou"}
 DIGITS = "零一二三四五六七八九"
+UNITS, GROUPS = ("", "十", "百", "千"), ("", "万", "亿", "万亿")
 
 
 def lookup(key, values: dict, default=None) -> Column:
@@ -147,14 +149,57 @@ def toned(reading) -> Column:
     return F.when(r.rlike("^[a-zv]+[1-5]$"), F.struct(F.regexp_extract(r, "^([a-zv]+)", 1).alias("pinyin"), F.substring(r, -1, 1).cast("int").alias("tone")))
 
 
+def spelt_number(digits: str) -> str:
+    """A number in Chinese numerals (12 is 十二), decimals digit by digit; all digits one by one with leading zeros or over 16 places.
+
+    Digits get the unit of their place in groups of four, groups get 万, 亿 and 万亿; zeros between count once.
+    """
+    whole, point, rest = digits.partition(".")
+    one_by_one = lambda x: "".join(DIGITS[int(c)] for c in x)
+    if point:
+        return f"{spelt_number(whole)}点{one_by_one(rest)}"
+    if len(whole) > 16 or whole[0] == "0":
+        return one_by_one(whole)
+    out, owed, n = "", False, len(whole)
+    for place, group in zip(range((n - 1) // 4, -1, -1), re.findall(".{1,4}", whole.rjust(-(-n // 4) * 4))):
+        word = ""
+        for unit, c in zip(reversed(UNITS), group):
+            if c in " 0":
+                owed = owed or c == "0"
+                continue
+            word += ("零" if owed else "") + DIGITS[int(c)] + unit
+            owed = False
+        out += word + (GROUPS[place] if word else "")
+    return re.sub("^一十", "十", out)
+
+
 @F.pandas_udf(StringType())
-def nfkc(text: pd.Series) -> pd.Series:
-    return text.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+def _normalized(text: pd.Series) -> pd.Series:
+    number = re.compile("[0-9]+(?:[.][0-9]+)?")
+    return text.map(lambda x: None if x is None else number.sub(lambda m: spelt_number(m[0]), unicodedata.normalize("NFKC", x)))
 
 
 def normalize_text(text) -> Column:
-    """NFKC, digits spelt out one by one, white space dropped."""
-    return F.regexp_replace(F.translate(nfkc(_c(text)), "0123456789", DIGITS), r"\s+", "")
+    """NFKC, numbers spelt out, white space dropped."""
+    return F.regexp_replace(_normalized(_c(text)), r"\s+", "")
+
+
+def syllables(texts: DataFrame, readings: DataFrame, key: list[str], text: str) -> DataFrame:
+    """key, pos, char, pinyin, tone, initial, final: a row for each character of a text, without reading (NULL) for those that are no hanzi.
+
+    readings (char, reading such as ni3) is a table or what a provider gives; it meets distinct characters only.
+    """
+    chars = texts.select(*key, F.posexplode(F.split(F.col(text), "")).alias("pos", "char")).filter("char <> ''")
+    known = chars.select("char").distinct().filter(is_hanzi("char")).join(readings.groupBy("char").agg(F.min("reading").alias("reading")), "char")
+    read = known.select("char", toned("reading").alias("__r")).select("char", "__r.pinyin", "__r.tone")
+    parts = read.withColumns({"initial": initial_of("pinyin"), "final": final_of("pinyin")})
+    return chars.join(parts, "char", "left").select(*key, "pos", "char", "pinyin", "tone", "initial", "final")
+
+
+def pinyin_sequence(rows: DataFrame, key: list[str], order: str) -> DataFrame:
+    """key, sequence: the pinyin of a text's syllables in order; characters without reading are left out."""
+    held = F.sort_array(F.collect_list(F.when(F.col("pinyin").isNotNull(), F.struct(F.col(order).alias("at"), "pinyin"))))
+    return rows.groupBy(*key).agg(F.transform(held, lambda x: x["pinyin"]).alias("sequence"))
 
 
 def base_phone(phone) -> Column:
@@ -252,11 +297,12 @@ def token_distance(left: Column, right: Column) -> Column:
     """Edit distance between two arrays of tokens.
 
     Tokens become single letters of an alphabet of their own (their place in the union of both), so Spark's Levenshtein
-    counts tokens; 40,000 different tokens fit.
+    counts tokens. Pairs of arrays with over 40,000 different tokens raise an error.
     """
     union = F.array_distinct(F.concat(left, right))
     letters = lambda a: F.array_join(F.transform(a, lambda x: _letter(F.array_position(union, x).cast("int"))), "")
-    return F.levenshtein(letters(left), letters(right))
+    many = F.raise_error(F.lit("token_distance: over 40000 different tokens")).cast("int")
+    return F.when(F.size(union) > 40_000, many).otherwise(F.levenshtein(letters(left), letters(right)))
 
 
 def _letter(n: Column) -> Column:

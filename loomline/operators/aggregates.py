@@ -134,6 +134,12 @@ def selection_summary(chosen: DataFrame, by: list[str], order: list[str], tier:
     return held.groupBy(*by).agg(F.count("*").alias("targets"), F.avg((F.col(tier) == 0).cast("double")).alias("exact"), F.sum("__joined").alias("contiguous"), F.sum(cost).alias("cost"))
 
 
+def reference_level(placements: DataFrame, by: list[str], energy: str, frames: DataFrame, loudness: str, voiced: Column) -> DataFrame:
+    """by, energy_level, loudness_level: medians of the placed units' energies and of the song's loudness in voiced frames."""
+    own = placements.groupBy(*by).agg(F.percentile(energy, 0.5).alias("energy_level"))
+    return own.join(frames.filter(voiced).groupBy(*by).agg(F.percentile(loudness, 0.5).alias("loudness_level")), by, "left")
+
+
 def normalise_peak(samples: Column, peak: float = 10 ** (-1 / 20)) -> Column:
     """An array scaled so that its largest magnitude is ``peak``; silence stays."""
     top = F.array_max(F.transform(samples, F.abs))

@@ -47,19 +47,40 @@ def points_in_intervals(points: DataFrame, intervals: DataFrame, by: list[str],
     return found.drop("__id").unionByName(lone.select(*points.columns, *(F.lit(None).cast(intervals.schema[c].dataType).alias(c) for c in extra)))
 
 
-def overlapping(left: DataFrame, right: DataFrame, by: list[str], a: tuple[str, str], b: tuple[str, str]) -> DataFrame:
-    """Pairs of the same group that overlap: a.start < b.end and b.start < a.end. Each pair once."""
-    levels = sorted({*levels_of(left, *a), *levels_of(right, *b)}) or [0]
+def sharing_buckets(left: DataFrame, right: DataFrame, by: list[str], a: tuple[str, str], b: tuple[str, str]) -> DataFrame:
+    """Pairs that share a bucket (__b) of the longer one's level, with the first bucket of each (__first_x, __first_y).
+
+    An interval of a level meets those of the other side at that level or below it; left ones go first, then right ones that are longer.
+    Two short intervals thus never meet in the bucket of a long one.
+    """
 
-    def placed(side: DataFrame, span: tuple[str, str], tag: str) -> DataFrame:
-        own = side.withColumn(f"__{tag}", _level(*span)).withColumn("__l", F.explode(F.array(*map(F.lit, levels)))).filter(F.col("__l") >= F.col(f"__{tag}"))
+    def buckets(side: DataFrame, span: tuple[str, str], tag: str) -> DataFrame:
         first, last = _bucket(F.col(span[0]), F.col("__l")), _bucket(F.col(span[1]), F.col("__l"))
-        return own.withColumn(f"__first_{tag}", first).withColumn("__b", F.explode(F.sequence(first, last)))
+        return side.withColumn(f"__first_{tag}", first).withColumn("__b", F.explode(F.sequence(first, last)))
+
+    def own(side: DataFrame, span: tuple[str, str], tag: str) -> DataFrame:
+        return buckets(side.withColumn("__l", _level(*span)), span, tag)
+
+    def below(side: DataFrame, span: tuple[str, str], tag: str, levels: list[int], equal: bool) -> DataFrame:
+        reach = F.filter(F.array(*map(F.lit, levels)), lambda x: (x >= F.col("__own")) if equal else (x > F.col("__own")))
+        return buckets(side.withColumn("__own", _level(*span)).withColumn("__l", F.explode(reach)).drop("__own"), span, tag)
 
-    pairs = placed(left, a, "x").join(placed(right, b, "y"), [*by, "__l", "__b"])
-    once = (F.col("__l") == F.greatest("__x", "__y")) & (F.col("__b") == F.greatest("__first_x", "__first_y"))
+    longer = own(left, a, "x").join(below(right, b, "y", levels_of(left, *a) or [0], True), [*by, "__l", "__b"])
+    return longer.unionByName(below(left, a, "x", levels_of(right, *b) or [0], False).join(own(right, b, "y"), [*by, "__l", "__b"]))
+
+
+def overlapping(left: DataFrame, right: DataFrame, by: list[str], a: tuple[str, str], b: tuple[str, str]) -> DataFrame:
+    """Pairs of the same group that overlap: a.start < b.end and b.start < a.end. Each pair once."""
+    once = F.col("__b") == F.greatest("__first_x", "__first_y")
     meet = (F.col(a[0]) < F.col(b[1])) & (F.col(b[0]) < F.col(a[1]))
-    return pairs.filter(once & meet).drop("__l", "__b", "__x", "__y", "__first_x", "__first_y")
+    return sharing_buckets(left, right, by, a, b).filter(once & meet).drop("__l", "__b", "__first_x", "__first_y")
+
+
+def segment_at(points: DataFrame, segments: DataFrame, by: list[str], at: str, start: str, end: str, order: str) -> DataFrame:
+    """points with the number ``order`` of the first segment that holds them, both ends included; the group's last where none does."""
+    held = points_in_intervals(points, segments, by, at, start, end, closed=True).groupBy(*by, at).agg(F.min(order).alias(order))
+    last = segments.groupBy(*by).agg(F.max(order).alias("__last"))
+    return points.join(held, [*by, at], "left").join(last, by, "left").withColumn(order, F.coalesce(order, "__last")).drop("__last")
 
 
 def contained(inner: DataFrame, outer: DataFrame, by: list[str], a: tuple[str, str], b: tuple[str, str], slack: float = 1e-4) -> DataFrame:

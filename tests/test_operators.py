@@ -40,6 +40,15 @@ def test_points_in_intervals(spark, closed):
     assert joins.points_in_intervals(a, b.limit(0), ["g"], "x", "lo", "hi").count() == 0
 
 
+def test_one_long_span_costs_no_more(spark):
+    """Short intervals don't meet in the bucket of a long one."""
+    short = [(0, k, k * 1.0, k * 1.0 + 0.5) for k in range(3000)]
+    a = frame(spark, [*short, (0, -1, 0.0, 3000.0)], "g int, x int, s double, e double")
+    b = frame(spark, [*short, (0, -2, 10.0, 900.0)], "g int, y int, s2 double, e2 double")
+    assert joins.overlapping(a, b, ["g"], ("s", "e"), ("s2", "e2")).count() == 3000 + 3000 + 890 + 1
+    assert joins.sharing_buckets(a, b, ["g"], ("s", "e"), ("s2", "e2")).count() < 20_000
+
+
 def test_overlaps_and_best_match(spark):
     r = random.Random(2)
     make = lambda n: [(k % 3, k, s := r.uniform(0, 40), s + r.choice([0.01, 1.0, 5.0, 80.0])) for k in range(n)]
@@ -285,13 +294,77 @@ def test_span_repair(spark):
     assert spark.range(1).select(sequence.group_by_length(F.array(*map(F.lit, (100.0, 150.0, 50.0, 300.0, 1.0))), 280.0)).first()[0] == [0, 0, 1, 2, 3]
 
 
-def test_silence_split():
-    db = np.full(1000, -80.0)
-    db[100:300], db[310:400], db[600:605], db[700:900] = -20.0, -20.0, -20.0, -20.0
-    assert np.ravel(segmentation.speech_spans(db, 0.01)).tolist() == pytest.approx([0.92, 4.08, 6.92, 9.08])
-    long = np.concatenate([np.full(50, -80.0), np.full(5000, -20.0), np.full(600, -80.0)])
-    long[1500] = long[3200] = -30.0
-    assert all(b - a <= 20.17 for a, b in segmentation.speech_spans(long, 0.01)) and segmentation.speech_spans(np.zeros(0), 0.01) == []
+def brute_speech(db, period, min_silence, min_speech, max_chunk, pad):
+    """Frame by frame, and recursion for long spans."""
+    if not db:
+        return []
+    p10, p90 = np.percentile(db, [10, 90])
+    spans, gap = [], int(min_silence / period)
+    for i, x in enumerate(db):
+        if x > max(p10 + 6, p90 - 35):
+            if spans and (i == spans[-1][1] or i - spans[-1][1] < gap):
+                spans[-1][1] = i + 1
+            else:
+                spans.append([i, i + 1])
+
+    def halves(a, b):
+        if b - a <= int(max_chunk / period):
+            return [(a, b)]
+        inner = range(a + int(1 / period), b - int(1 / period))
+        at = min(max(min(inner, key=lambda i: (db[i], i)) if len(inner) else (a + b) // 2, a + 1), b - 1)
+        return halves(a, at) + halves(at, b)
+
+    parts = [p for a, b in spans if b - a >= int(min_speech / period) for p in halves(a, b)]
+    return [(max(0.0, a * period - pad), min(len(db) * period, b * period + pad)) for a, b in parts]
+
+
+def test_silence_split(spark):
+    r, tracks = np.random.default_rng(8), {}
+    for g in range(12):
+        blocks = [np.full(int(r.integers(1, 90)), -70.0 if k % 2 else -20.0) for k in range(int(r.integers(1, 9)))]
+        tracks[g] = np.round(np.concatenate(blocks) + r.normal(0, 3, sum(map(len, blocks))), 2).tolist()
+    tracks[90], tracks[91] = [-20.0] * 400, [-80.0] * 5
+    options = {"min_silence": 0.5, "min_speech": 0.6, "max_chunk": 8.0, "pad": 0.08}
+    rows = [(g, i, x) for g, db in tracks.items() for i, x in enumerate(db)]
+    df = frame(spark, rows, "g int, i int, db double")
+    found = segmentation.split_on_silence(df, ["g"], "i", "db", 0.1, **options).collect()
+    want = [(g, n, a, b) for g, db in tracks.items() for n, (a, b) in enumerate(brute_speech(db, 0.1, *options.values()))]
+    assert sorted(map(tuple, found)) == [(g, n, pytest.approx(a), pytest.approx(b)) for g, n, a, b in sorted(want)] and len(want) > 20
+    assert segmentation.split_on_silence(df.limit(0), ["g"], "i", "db", 0.1).collect() == []
+
+
+def brute_levels(wide, light, least, threshold):
+    """The same scan one frame at a time."""
+    found, level, gone = [0], float(np.median(wide[:least])), []
+    for k in range(1, len(wide)):
+        if abs(wide[k] - level) <= threshold:
+            gone, level = [], 0.95 * level + 0.05 * float(wide[k])
+            continue
+        gone.append(k)
+        if len(gone) <= least // 2:
+            continue
+        low = max(found[-1] + 1, gone[0] - 10)
+        steps = [abs(light[i + 1] - light[i]) for i in range(low, k - 1)]
+        at = low + 1 + steps.index(max(steps)) if steps else k
+        if at - found[-1] >= least and len(wide) - at >= least // 2:
+            found.append(at)
+            level = float(np.median(wide[at : at + least]))
+        gone = []
+    return found
+
+
+def test_level_changes():
+    r, several = np.random.default_rng(12), 0
+    for _ in range(300):
+        tones = np.repeat(r.integers(50, 64, 6), r.integers(1, 40, 6)) + r.normal(0, float(r.choice([0.05, 0.5])), 1)
+        midi = tones + r.normal(0, 0.2, len(tones))
+        if len(midi) < 3:
+            continue
+        wide, light = segmentation.smooth_edge(midi, 15), segmentation.smooth_edge(midi, 5)
+        found = segmentation.level_changes(wide, light, 12, 0.8)
+        assert found == brute_levels(wide, light, 12, 0.8)
+        several += len(found) > 2
+    assert several > 50
 
 
 def test_melisma_has_two_notes():
@@ -346,6 +419,14 @@ def test_curve_simplifying(spark):
     keep = rendering.simplify(x, y, 3.0)
     assert keep[0] and keep[-1] and keep.sum() < 60 and np.abs(np.interp(x, x[keep], y[keep]) - y).max() <= 3.0 + 1e-9
 
+    def needed(a, b):
+        off = [abs(y[k] - (y[a] + (y[b] - y[a]) * (x[k] - x[a]) / (x[b] - x[a]))) for k in range(a + 1, b)]
+        k = a + 1 + off.index(max(off)) if off else a
+        return needed(a, k) | needed(k, b) | {k} if off and max(off) > 3.0 else set()
+
+    assert set(np.flatnonzero(keep).tolist()) == {0, 59} | needed(0, 59)
+    assert rendering.simplify(x[:0], y[:0], 3.0).tolist() == [] and rendering.simplify(x[:2], y[:2], 3.0).tolist() == [True, True]
+
 
 def test_overlap_add(spark):
     rows = [(0, 0, [1.0, 3.0], 1.0, True), (0, 0, [3.0, 5.0], 3.0, False), (0, 1, [7.0, 7.0], 0.5, True)]

@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
+import loomline.plans.families  # noqa: F401
 from loomline.plans.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
