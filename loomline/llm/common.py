@@ -86,6 +86,11 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def plain_names(df: DataFrame) -> DataFrame:
+    """df with its columns named c0, c1 and so on: functions over Arrow batches can't take every name."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+
+
 def with_field(df: DataFrame, name: str, kind: DataType) -> StructType:
     """The schema of df with one more column."""
     return StructType([*df.schema.fields, StructField(name, kind)])

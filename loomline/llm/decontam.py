@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from loomline.llm.common import bounded_batches, col, discard, free, out_batch, slices, stored, with_field
+from loomline.llm.common import bounded_batches, col, discard, free, out_batch, plain_names, slices, stored, with_field
 
 WINDOW, MIN_ITEMS, LIMIT = 8, 2, 8_000_000
 #: Byte by byte: what is no word becomes a blank, A-Z become a-z, bytes beyond ASCII stay.
@@ -208,5 +208,6 @@ def _remover(text_at: int):
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW, min_items: int = MIN_ITEMS, limit: int = LIMIT) -> DataFrame:
     """docs without contaminated rows, and without the benchmark passages in the rows that stay."""
-    found, name = scanned(docs, benchmark, text_col, window, limit)
-    return found.filter(F.size(col(name)["items"]) < min_items).mapInArrow(_remover(docs.columns.index(text_col)), docs.schema)
+    own, at = plain_names(docs), docs.columns.index(text_col)
+    found, name = scanned(own, benchmark, own.columns[at], window, limit)
+    return found.filter(F.size(col(name)["items"]) < min_items).mapInArrow(_remover(at), own.schema).toDF(*docs.columns)

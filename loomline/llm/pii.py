@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType, StructField, StructType
 
-from loomline.llm.common import bounded_batches, free, slices, stored
+from loomline.llm.common import bounded_batches, free, plain_names, slices, stored
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 BASE = KINDS[:4]
@@ -286,5 +286,6 @@ def _redactor(text_at: int, probability: dict[str, float]):
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with each span of personal data replaced by its kind in angle brackets."""
-    found, name = candidate_table(docs, text_col, docs.columns)
-    return found.mapInArrow(_redactor(docs.columns.index(text_col), learn(found, name)), docs.schema)
+    own, at = plain_names(docs), docs.columns.index(text_col)
+    found, name = candidate_table(own, own.columns[at], own.columns)
+    return found.mapInArrow(_redactor(at, learn(found, name)), own.schema).toDF(*docs.columns)
