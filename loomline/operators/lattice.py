@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 
 def with_rescue(candidates: DataFrame, song: str, t: str, chain: str, pos: str, rank: str, k: int) -> DataFrame:
@@ -48,24 +49,57 @@ def cheapest_path(columns: list[dict[str, np.ndarray]], joined: list[bool], weig
 def select_sequence(lattice: DataFrame, song: str, t: str, order: list[str], weight: float = 1.0) -> DataFrame:
     """song, t, unit_id, tier, total_cost: for each song the cheapest sequence of one candidate a target.
 
-    lattice: the pruned candidates with unit_id, next_id, source, shift, energy, cost, tier and joined. One task a song; a song's
-    lattice has at most its targets times the candidates kept of each, so its size follows its own length only. A target
-    without candidates leaves a pause.
+    lattice: the pruned candidates with unit_id, next_id, source, shift, energy, cost, tier and joined. Tasks take sorted partitions of
+    songs and solve one after the other, so many short songs cost one batch; a song's lattice has at most its targets times the candidates
+    kept of each. A target without candidates leaves a pause.
     """
-    kind = {f.name: f.dataType.simpleString() for f in lattice.schema}
-    schema = f"`{song}` {kind[song]}, `{t}` {kind[t]}, unit_id {kind['unit_id']}, tier int, total_cost double"
-    floats, others = ("cost", "shift", "energy"), ("unit_id", "next_id", "source")
-
-    def solve(part: pd.DataFrame) -> pd.DataFrame:
-        rows = np.lexsort([part[c].to_numpy() for c in [*reversed(order), t]])
-        values = {c: part[c].to_numpy(float)[rows] for c in floats} | {c: part[c].to_numpy()[rows] for c in others}
-        place, near = part[t].to_numpy()[rows], part["joined"].to_numpy()[rows]
-        edges = [0, *(np.flatnonzero(np.diff(place)) + 1).tolist(), len(place)]
-        columns = [{c: v[a:b] for c, v in values.items()} for a, b in zip(edges, edges[1:])]
-        joined = [k > 0 and bool(near[a]) and place[a] == place[edges[k - 1]] + 1 for k, a in enumerate(edges[:-1])]
-        path, total = cheapest_path(columns, joined, weight)
-        at = np.array(edges[:-1]) + path
-        return pd.DataFrame({song: part[song].iloc[0], t: place[at], "unit_id": values["unit_id"][at], "tier": part["tier"].to_numpy()[rows][at], "total_cost": total})
+    plain = lattice.select(song, t, *order, *(c for c in (*_FLOATS, *_OTHERS, "tier", "joined") if c not in order))
+    names = plain.columns
+    kinds = [plain.schema[c].dataType for c in (song, t, "unit_id")]
+    schema = StructType([*(StructField(f"c{k}", kind) for k, kind in enumerate(kinds)), StructField("tier", IntegerType()), StructField("total_cost", DoubleType())])
+
+    def solve(batches):
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            last = batch.column(0)[batch.num_rows - 1]
+            if batch.column(0)[0] == last and batch.num_rows > 1:
+                continue  # perhaps one song goes on
+            rows = pa.Table.from_batches(held).combine_chunks()
+            same = rows.column(0).to_pylist()
+            cut = next(k for k in range(len(same), 0, -1) if same[k - 1] != same[-1]) if same[0] != same[-1] else 0
+            if cut:
+                yield from _paths(rows.slice(0, cut), names, song, t, weight)
+            held = rows.slice(cut).to_batches()
+        if held:
+            yield from _paths(pa.Table.from_batches(held), names, song, t, weight)
+
+    sorted_ = plain.repartition(song).sortWithinPartitions(song, t, *order)
+    return sorted_.mapInArrow(solve, schema).toDF(song, t, "unit_id", "tier", "total_cost")
+
 
-    needed = lattice.select(song, t, *order, *(c for c in (*floats, *others, "tier", "joined") if c not in order))
-    return needed.groupBy(song).applyInPandas(solve, schema)
+_FLOATS, _OTHERS = ("cost", "shift", "energy"), ("unit_id", "next_id", "source")
+
+
+def _paths(rows: pa.Table, names: list[str], song: str, t: str, weight: float):
+    """The cheapest path of each of the songs that follow each other in rows, as one batch."""
+    column = {c: rows.column(names.index(c)) for c in names}
+    array = {c: np.array(column[c].to_pylist(), float) for c in _FLOATS} | {c: np.array(column[c].to_pylist()) for c in (*_OTHERS, t)}
+    songs, near = column[song].to_pylist(), column["joined"].to_pylist()
+    edges = [0, *(k for k in range(1, len(songs)) if songs[k] != songs[k - 1]), len(songs)]
+    picked, totals = [], []
+    for lo, hi in zip(edges, edges[1:]):
+        place = array[t][lo:hi]
+        steps = [lo, *(lo + 1 + np.flatnonzero(place[1:] != place[:-1])).tolist(), hi]
+        columns = [{c: array[c][a:b] for c in (*_FLOATS, *_OTHERS)} for a, b in zip(steps, steps[1:])]
+        joined = [k > 0 and bool(near[a]) and array[t][a] == array[t][steps[k - 1]] + 1 for k, a in enumerate(steps[:-1])]
+        path, total = cheapest_path(columns, joined, weight)
+        picked += [a + p for a, p in zip(steps, path)]
+        totals += [total] * len(path)
+    at = pa.array(picked)
+    out = [column[c].take(at).combine_chunks() for c in (song, t, "unit_id")]
+    out = [x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in out]
+    tiers = pa.array(column["tier"].take(at).to_pylist(), pa.int32())
+    yield pa.RecordBatch.from_arrays([*out, tiers, pa.array(totals, pa.float64())], names=["c0", "c1", "c2", "tier", "total_cost"])

@@ -32,11 +32,11 @@ def resolve_tiers(wanted: DataFrame, available: DataFrame, keys: list[str]) -> D
     return out.withColumn("tier", tier).drop(*(f"__t{n}" for n in range(len(keys))))
 
 
-def tiered_candidates(targets: DataFrame, units: DataFrame, keys: list[str], fallback: DataFrame | None = None) -> DataFrame:
+def tiered_candidates(targets: DataFrame, units: DataFrame, keys: list[str], fallback: DataFrame | None = None, most: int = 100_000_000) -> DataFrame:
     """Each target with the units of its tier. Target columns keep their names, unit columns must differ but for the keys.
 
     Targets that no key matches meet all of ``fallback`` (none by default). These should be very few: their number times that of the
-    units is what is looked at, though a top_k that follows cuts it before any shuffle.
+    units is what is looked at, though a top_k that follows cuts it before any shuffle. Over ``most`` such pairs are refused.
     """
     distinct = targets.select(*keys).distinct()
     placed = targets.join(resolve_tiers(distinct, units, keys), keys)
@@ -47,6 +47,9 @@ def tiered_candidates(targets: DataFrame, units: DataFrame, keys: list[str], fal
         parts.append(own.join(units.select(k, *extra), k).select(*targets.columns, "tier", *extra))
     if fallback is not None:
         lone = placed.filter(F.col("tier") == len(keys))
+        pairs = (n := lone.count()) and n * fallback.count()
+        if pairs > most:
+            raise ValueError(f"{n} targets match no key: with the fallback that makes {pairs} pairs, over {most}")
         parts.append(lone.crossJoin(fallback.select(*extra)).select(*targets.columns, "tier", *extra))
     out = parts[0]
     for p in parts[1:]:
