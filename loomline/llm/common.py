@@ -49,17 +49,30 @@ def scratch(spark: SparkSession, label: str) -> str:
 def stored(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     """df written to the shared folder and read again: lineage ends there and lost executors cost no recomputation."""
     spark, path = df.sparkSession, scratch(df.sparkSession, label)
+    _STORED.append(path)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_STORED: list[str] = []
+
+
+def stored_paths(since: int = 0) -> list[str]:
+    """The folders that stored() has made in this process, from the ``since``-th on."""
+    return _STORED[since:]
+
+
+def delete(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Delete folders, when nothing reads them any more."""
+    for at in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete the files that stored() wrote for tables, when nothing reads them any more."""
     for df in tables:
-        spark = df.sparkSession
-        for root in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = spark._jvm.org.apache.hadoop.fs.Path(root)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete(df.sparkSession, {f.rsplit("/", 1)[0] for f in df.inputFiles()})
 
 
 def bounded_batches(spark: SparkSession, size: str = "8m") -> None:
