@@ -13,7 +13,7 @@ from loomline.functions import pitch, scores, text
 from loomline.operators import aggregates, joins, ranking, rendering, rolling, runs, sequence
 from loomline.plans import bank
 from loomline.plans.queries import E, O, U, events, query, r6, table
-from loomline.sources import files
+from loomline.sources import files, sinks
 
 #: syllable: initial, final, vowel position, nucleus, vowel group, consonant group, spelling, coda, pronunciation in the first tone
 SYLLABLES = {
@@ -380,9 +380,11 @@ def whole_where_empty(spark, d):
 @query("""SELECT p_partkey, 'a_' || p_partkey || '.wav=' || p_name || ',' || printf('%.2f,%.2f,%.2f,%.2f,%.2f', 0.0, round(p_retailprice, 2), -round(p_size / 3.0, 2), round(p_size / 4.0, 2), 1.0) AS line FROM part""")
 def oto_lines(spark, d):
     k = F.col("p_partkey").cast("string")
-    rows = table(spark, d, "part").select("p_partkey", F.concat(F.lit("a_"), k, F.lit(".wav")).alias("file"), F.col("p_name").alias("alias"), F.lit(0.0).alias("offset_ms"), "p_retailprice", (-F.col("p_size") / 3.0).alias("cut"), (F.col("p_size") / 4.0).alias("pre"))
-    two = lambda c: F.format_string("%.2f", F.round(c, 2))
-    return rows.select("p_partkey", F.concat(F.col("file"), F.lit("="), "alias", F.lit(","), F.concat_ws(",", two("offset_ms"), two("p_retailprice"), two("cut"), two("pre"), two(F.lit(1.0)))).alias("line"))
+    rows = table(spark, d, "part").select(
+        "p_partkey", F.concat(F.lit("a_"), k, F.lit(".wav")).alias("file_name"), F.col("p_name").alias("alias"), F.lit(0.0).alias("offset_ms"), F.col("p_retailprice").alias("consonant_ms"), (-F.col("p_size") / 3.0).alias("cutoff_ms"),
+        (F.col("p_size") / 4.0).alias("preutterance_ms"), F.lit(1.0).alias("overlap_ms"),
+    )
+    return rows.select("p_partkey", sinks.oto_line(rows).alias("line"))
 
 
 @query("""SELECT page_id, CAST(count(*) AS BIGINT) AS n, CAST(max(k) AS BIGINT) AS last FROM (SELECT page_id, unnest(range(0, page_id % 4 + 1)) AS k FROM pages) GROUP BY page_id""")
