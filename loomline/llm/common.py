@@ -6,7 +6,6 @@ import os
 import re
 import tempfile
 import uuid
-import weakref
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -75,15 +74,13 @@ def discard(*tables: DataFrame) -> None:
         delete(df.sparkSession, {f.rsplit("/", 1)[0] for f in df.inputFiles()})
 
 
-def bounded_batches(spark: SparkSession, size: str = "8m") -> None:
+def bounded_batches(spark: SparkSession, size: int = 8 << 20) -> None:
     """Bound the batches that Python workers get by bytes, where the session has no smaller bound: rows may be very long."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if key not in _BOUNDED.get(spark, ()):
-        spark.conf.set(key, size)
-        _BOUNDED[spark] = {key}
-
-
-_BOUNDED: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+    number, unit = re.fullmatch(r"(-?\d+)([bkmgt]?)b?", spark.conf.get(key).lower()).groups()
+    bound = int(number) << 10 * " kmgt".index(unit if unit and unit != "b" else " ")
+    if not 0 < bound <= size:
+        spark.conf.set(key, f"{size}b")
 
 
 def free(df: DataFrame, name: str) -> str:
