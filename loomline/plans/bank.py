@@ -59,27 +59,33 @@ def build_bank(spark: SparkSession, folder: str, listing: DataFrame, speech: Dat
 
     aligned: recorded outputs of an aligner (source_id, start, end, cv_boundary, char, pinyin, tone, features ...). Only utterances
     that the ledger lacks are taken, and they enter it whether or not they gave units; ``force`` begins with an empty ledger.
-    Tables are written beside the old ones and read from there next time.
+    A run appends its own rows to each table as a version; readers take the versions that are finished, from the last forced one on. A
+    version's folder can be made once, so of two writers at a time one fails.
     """
-    at = lambda t, v: f"{folder}/{t}/v={v}"
-    versions = files.open_table(spark, f"{folder}/versions", "v bigint")
-    v = versions.agg(F.coalesce(F.max("v"), F.lit(0))).first()[0]
-    old = lambda t, ddl: spark.createDataFrame([], ddl) if options.force else files.open_table(spark, at(t, v), ddl)
-    sources, utts, units, ledger = old("sources", schema.SOURCES), old("utterances", schema.UTTERANCES), old("units", schema.UNITS), old("ledger", "utt_id string")
+    versions = files.open_table(spark, f"{folder}/versions", "v bigint, base bigint")
+    last = versions.agg(F.max(F.struct("v", "base")).alias("m")).select("m.*").first()
+    v, base = (last["v"], last["base"]) if last["v"] is not None else (0, 1)
+    base = v + 1 if options.force else base
+
+    def finished(name: str, ddl: str, upto: int) -> DataFrame:
+        held = files.open_table(spark, f"{folder}/{name}", f"{ddl}, v bigint")
+        return held.filter(F.col("v").between(base, upto)).drop("v")
+
+    kinds = {"sources": schema.SOURCES, "utterances": schema.UTTERANCES, "units": schema.UNITS, "ledger": "utt_id string"}
+    sources, utts, units, ledger = (finished(name, ddl, v) for name, ddl in kinds.items())
     new = ingest(listing, sources)
-    all_utts = utts.unionByName(utterances(new, speech, options))
-    todo = joins.pending(joins.pending(all_utts, ledger, ["utt_id"]), units, ["utt_id"])
+    fresh = utterances(new, speech, options)
+    todo = joins.pending(joins.pending(utts.unionByName(fresh), ledger, ["utt_id"]), units, ["utt_id"])
     cut = todo.select("utt_id", "source_id", F.col("start").alias("__s"), F.col("end").alias("__e"))
     inside = joins.points_in_intervals(aligned, cut, ["source_id"], "start", "__s", "__e").drop("__s", "__e")
     parts = inside.withColumns({"initial": text.initial_of("pinyin"), "final": text.final_of("pinyin")})
     judged = parts.withColumn("rejected", scores.reject_reason(F.col("end") - F.col("start"), F.col("end") - F.col("cv_boundary"), "voiced_ratio", "align_error"))
     numbered = number_units(judged, units.count(), ["source_id", "utt_id", "start"], f"{folder}/numbering/v={v + 1}")
     linked = runs.link_neighbours(numbered, ["source_id", "utt_id"], ["start", "unit_id"], "unit_id", "start", "end", 0.03)
-    result = units.unionByName(schema.conform(linked, schema.UNITS))
-    for name, df in (("sources", sources.unionByName(new)), ("utterances", all_utts), ("units", result), ("ledger", ledger.unionByName(todo.select("utt_id")))):
-        schema.rounded(df, 5).write.mode("overwrite").parquet(at(name, v + 1))
-    spark.createDataFrame([(v + 1,)], "v bigint").write.mode("append").parquet(f"{folder}/versions")
-    return files.open_table(spark, at("units", v + 1), schema.UNITS)
+    for name, df in (("sources", new), ("utterances", fresh), ("units", schema.conform(linked, schema.UNITS)), ("ledger", todo.select("utt_id"))):
+        schema.rounded(df, 5).write.mode("errorifexists").parquet(f"{folder}/{name}/v={v + 1}")
+    spark.createDataFrame([(v + 1, base)], "v bigint, base bigint").write.mode("append").parquet(f"{folder}/versions")
+    return finished("units", schema.UNITS, v + 1)
 
 
 def voicebank(units: DataFrame) -> DataFrame:
