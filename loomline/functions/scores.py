@@ -43,8 +43,16 @@ def unit_quality(final, f0_std, nucleus, f0, median, energy, tone, voiced_ratio,
 
 def target_cost(pitch_gap, vowel, final, quality, tone, phrase_matches, tier, pitch_weight: float = 1.0, stretch_weight: float = 1.0) -> Column:
     """Cost of singing a target with a unit. pitch_gap: semitones apart; phrase_matches: how many phrase edges agree."""
-    d, vowel = F.abs(_c(pitch_gap)), _c(vowel)
-    stretch = F.log(F.greatest(vowel / F.greatest(_c(final), F.lit(0.03)), F.lit(1e-3)))
+    return target_cost_of(F.abs(_c(pitch_gap)), log_stretch(vowel, final), vowel, quality, tone, phrase_matches, tier, pitch_weight, stretch_weight)
+
+
+def log_stretch(vowel, final) -> Column:
+    return F.log(F.greatest(_c(vowel) / F.greatest(_c(final), F.lit(0.03)), F.lit(1e-3)))
+
+
+def target_cost_of(distance, stretch, vowel, quality, tone, phrase_matches, tier, pitch_weight: float = 1.0, stretch_weight: float = 1.0) -> Column:
+    """target_cost from the absolute pitch gap and log_stretch, for callers that hold both (higher-order functions evaluate each mention anew)."""
+    d, stretch, vowel = _c(distance), _c(stretch), _c(vowel)
     far = F.greatest(d - 3.0, F.lit(0.0))
     slow, fast = F.greatest(stretch, F.lit(0.0)), F.greatest(-stretch, F.lit(0.0))
     return (

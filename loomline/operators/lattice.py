@@ -13,13 +13,14 @@ def with_rescue(candidates: DataFrame, song: str, t: str, chain: str, pos: str,
     """Candidates of rank <= k, and those that continue, unit by unit in the recording, one that was kept in the column before.
 
     Along a diagonal (same song, same chain, t - pos) neighbours in t continue each other, so a candidate stays if any row at
-    or before it in its unbroken stretch has rank <= k: windows instead of a recursion over columns.
+    or before it in its unbroken stretch has rank <= k: windows over one sort instead of a recursion over columns. Candidates of
+    rank > k that continue no other candidate may be left out beforehand: nothing keeps them, and nothing stays because of them.
     """
-    diagonal = candidates.withColumn("__diag", F.col(t) - F.col(pos))
     w = Window.partitionBy(song, chain, "__diag").orderBy(t)
-    island = diagonal.withColumn("__island", F.col(t) - F.row_number().over(w))
-    seen = Window.partitionBy(song, chain, "__diag", "__island").orderBy(t).rowsBetween(Window.unboundedPreceding, 0)
-    return island.withColumn("__kept", F.max((F.col(rank) <= k).cast("int")).over(seen)).filter("__kept = 1").drop("__diag", "__island", "__kept")
+    seen = w.rowsBetween(Window.unboundedPreceding, 0)
+    broken = candidates.withColumn("__diag", F.col(t) - F.col(pos)).withColumn("__new", F.coalesce(F.lag(t).over(w) != F.col(t) - 1, F.lit(True)))
+    last = broken.withColumns({"__from": F.max(F.when(F.col("__new"), F.col(t))).over(seen), "__held": F.max(F.when(F.col(rank) <= k, F.col(t))).over(seen)})
+    return last.filter(F.col("__held") >= F.col("__from")).drop("__diag", "__new", "__from", "__held")
 
 
 def cheapest_path(columns: list[dict[str, np.ndarray]], joined: list[bool], weight: float = 1.0) -> tuple[list[int], float]:
@@ -46,12 +47,12 @@ def cheapest_path(columns: list[dict[str, np.ndarray]], joined: list[bool], weig
     return at[::-1], float(best.min())
 
 
-def select_sequence(lattice: DataFrame, song: str, t: str, order: list[str], weight: float = 1.0) -> DataFrame:
+def select_sequence(lattice: DataFrame, song: str, t: str, order: list[str], weight: float = 1.0, placed: bool = False) -> DataFrame:
     """song, t, unit_id, tier, total_cost: for each song the cheapest sequence of one candidate a target.
 
     lattice: the pruned candidates with unit_id, next_id, source, shift, energy, cost, tier and joined. Tasks take sorted partitions of
     songs and solve one after the other, so many short songs cost one batch; a song's lattice has at most its targets times the candidates
-    kept of each. A target without candidates leaves a pause.
+    kept of each. A target without candidates leaves a pause. placed: the lattice is hash partitioned by song already.
     """
     plain = lattice.select(song, t, *order, *(c for c in (*_FLOATS, *_OTHERS, "tier", "joined") if c not in order))
     names = plain.columns
@@ -76,7 +77,7 @@ def select_sequence(lattice: DataFrame, song: str, t: str, order: list[str], wei
         if held:
             yield from _paths(pa.Table.from_batches(held), names, song, t, weight)
 
-    sorted_ = plain.repartition(song).sortWithinPartitions(song, t, *order)
+    sorted_ = (plain if placed else plain.repartition(song)).sortWithinPartitions(song, t, *order)
     return sorted_.mapInArrow(solve, schema).toDF(song, t, "unit_id", "tier", "total_cost")
 
 

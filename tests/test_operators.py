@@ -462,3 +462,40 @@ def test_cutpoints_of_tones():
     cuts = segmentation.candidate_cutpoints(np.concatenate(parts), rate, segmentation.MergeRules(min_gap=0.09))
     assert cuts[0] == 0.0 and cuts[-1] > 0.8 and len(cuts) >= 4
     assert segmentation.candidate_cutpoints(np.zeros(0), rate) == [0.0]
+
+
+@pytest.mark.parametrize("hold", [2000, 4])
+def test_units_of_the_same_key(spark, hold):
+    """Only the first k and those that follow an offered unit leave the row of a target; keys of many units, ranked by a window, give the same."""
+    r = random.Random(4)
+    targets = [(s, t, r.choice([*range(5), None]), r.randint(-1, 4), r.random()) for s in range(3) for t in range(6)]
+    units = [(r.choice([0, 0, 0, 1, 2, 3, 9]), n, round(r.random(), 1), r.randint(0, 5)) for n in range(40)]
+    a, b = frame(spark, targets, "s int, t int, want int, prev int, p double"), frame(spark, units, "key int, n int, f double, before int")
+    cost = lambda u: F.round(u("gap"), 1)
+    terms = {"gap": lambda u: F.abs(F.col("p") - u("f"))}
+    for also in (None, lambda u: u("before") == F.col("prev")):
+        out = ranking.of_same_key(a, b, ["s", "t"], "want", "key", terms, cost, ["n"], ["before"], 2, also, hold=hold)
+        want = []
+        for s, t, key, prev, p in targets:
+            own = sorted((float(f"{math.floor(abs(p - f) * 10 + 0.5) / 10:.1f}"), n, before) for k, n, f, before in units if k == key)
+            want += [(s, t, n, rank) for rank, (_, n, before) in enumerate(own, 1) if rank <= 2 or also and before == prev]
+        assert got(out.select("s", "t", "n", "rank")) == sorted(want, key=repr)
+
+
+def test_rescue_needs_no_candidates_that_continue_nothing(spark):
+    r = random.Random(5)
+    rows = [(0, t, c, p, r.randint(1, 9)) for t in range(12) for c in range(3) for p in range(6) if r.random() < 0.6]
+    held = {x[:4] for x in rows}
+    fewer = [x for x in rows if x[4] <= 2 or (0, x[1] - 1, x[2], x[3] - 1) in held]
+    kept = [got(lattice.with_rescue(frame(spark, some, "s int, t int, c int, p int, k int"), "s", "t", "c", "p", "k", 2)) for some in (rows, fewer)]
+    assert len(fewer) < len(rows) and kept[0] == kept[1]
+
+
+def test_candidates_are_cut_where_they_meet(spark):
+    """What goes on from the join is a few rows a target, not every unit of its part."""
+    from loomline.plans.queries import candidates
+
+    found = candidates(spark, "/root/testdata/sf0.001", 3)
+    assert found.filter("rank > 3").count() < found.count() / 10
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" not in plan and "posexplode" not in plan and "explode" in plan
