@@ -4,6 +4,8 @@ Intervals are put into levels by length: level k has buckets of width 2**k, and
 most. A point, or a shorter interval, looks at the buckets of every level that occurs; there are as many levels as powers of
 two between the shortest and longest interval. So both sides meet in an equi-join that shuffles and splits like any other, and no
 interval is copied more than twice by level, however long.
+
+Sides that were copied to levels are never broadcast: Spark judges them by their files, which know nothing of the copies.
 """
 
 from __future__ import annotations
@@ -39,7 +41,7 @@ def points_in_intervals(points: DataFrame, intervals: DataFrame, by: list[str],
     asked = points.withColumn("__id", F.monotonically_increasing_id()) if how == "left" else points
     probed = asked.withColumn("__l", F.explode(F.array(*map(F.lit, levels)))).withColumn("__b", _bucket(F.col(at), F.col("__l")))
     within = (F.col(at) >= F.col(start)) & ((F.col(at) <= F.col(end)) if closed else (F.col(at) < F.col(end)))
-    found = probed.join(placed, [*by, "__l", "__b"]).filter(within).drop("__l", "__b")
+    found = probed.join(placed.hint("merge"), [*by, "__l", "__b"]).filter(within).drop("__l", "__b")
     if how == "inner":
         return found
     extra = [c for c in intervals.columns if c not in by]
@@ -65,8 +67,8 @@ def sharing_buckets(left: DataFrame, right: DataFrame, by: list[str], a: tuple[s
         reach = F.filter(F.array(*map(F.lit, levels)), lambda x: (x >= F.col("__own")) if equal else (x > F.col("__own")))
         return buckets(side.withColumn("__own", _level(*span)).withColumn("__l", F.explode(reach)).drop("__own"), span, tag)
 
-    longer = own(left, a, "x").join(below(right, b, "y", levels_of(left, *a) or [0], True), [*by, "__l", "__b"])
-    return longer.unionByName(below(left, a, "x", levels_of(right, *b) or [0], False).join(own(right, b, "y"), [*by, "__l", "__b"]))
+    longer = own(left, a, "x").join(below(right, b, "y", levels_of(left, *a) or [0], True).hint("merge"), [*by, "__l", "__b"])
+    return longer.unionByName(below(left, a, "x", levels_of(right, *b) or [0], False).join(own(right, b, "y").hint("merge"), [*by, "__l", "__b"]))
 
 
 def overlapping(left: DataFrame, right: DataFrame, by: list[str], a: tuple[str, str], b: tuple[str, str]) -> DataFrame:
@@ -103,7 +105,7 @@ def same_bounds(current: DataFrame, previous: DataFrame, by: list[str], a: tuple
     """Pairs whose bounds both differ by slack at most: buckets of that width, neighbours probed."""
     cell = lambda c: F.floor(F.col(c) / slack).cast("long")
     near = current.withColumn("__c", F.explode(F.array(cell(a[0]) - 1, cell(a[0]), cell(a[0]) + 1)))
-    found = near.join(previous.withColumn("__c", cell(b[0])), [*by, "__c"]).drop("__c")
+    found = near.join(previous.withColumn("__c", cell(b[0])).hint("merge"), [*by, "__c"]).drop("__c")
     return found.filter((F.abs(F.col(a[0]) - F.col(b[0])) <= slack) & (F.abs(F.col(a[1]) - F.col(b[1])) <= slack))
 
 

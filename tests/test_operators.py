@@ -499,3 +499,16 @@ def test_candidates_are_cut_where_they_meet(spark):
     assert found.filter("rank > 3").count() < found.count() / 10
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" not in plan and "posexplode" not in plan and "explode" in plan
+
+
+def test_sides_copied_to_levels_are_not_broadcast(spark):
+    """The files of a few intervals are small, what they are copied to isn't: the driver must hold neither side."""
+    a, b = frame(spark, [(0, 1, 1.0)], "g int, p int, x double"), frame(spark, [(0, 1, 0.0, 3.0)], "g int, s int, lo double, hi double")
+    spans = frame(spark, [(0, 2, 0.5, 2.0)], "g int, p int, x double, y double")
+    for out in (
+        joins.points_in_intervals(a, b, ["g"], "x", "lo", "hi"),
+        joins.overlapping(spans, b, ["g"], ("x", "y"), ("lo", "hi")),
+        joins.same_bounds(spans, b, ["g"], ("x", "y"), ("lo", "hi")),
+    ):
+        out.collect()
+        assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
