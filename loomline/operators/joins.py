@@ -82,7 +82,7 @@ def segment_at(points: DataFrame, segments: DataFrame, by: list[str], at: str, s
     """points with the number ``order`` of the first segment that holds them, both ends included; the group's last where none does."""
     held = points_in_intervals(points, segments, by, at, start, end, closed=True).groupBy(*by, at).agg(F.min(order).alias(order))
     last = segments.groupBy(*by).agg(F.max(order).alias("__last"))
-    return points.join(held, [*by, at], "left").join(last, by, "left").withColumn(order, F.coalesce(order, "__last")).drop("__last")
+    return points.join(held.hint("merge"), [*by, at], "left").join(last.hint("merge"), by, "left").withColumn(order, F.coalesce(order, "__last")).drop("__last")
 
 
 def contained(inner: DataFrame, outer: DataFrame, by: list[str], a: tuple[str, str], b: tuple[str, str], slack: float = 1e-4) -> DataFrame:

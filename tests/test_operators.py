@@ -509,6 +509,7 @@ def test_sides_copied_to_levels_are_not_broadcast(spark):
         joins.points_in_intervals(a, b, ["g"], "x", "lo", "hi"),
         joins.overlapping(spans, b, ["g"], ("x", "y"), ("lo", "hi")),
         joins.same_bounds(spans, b, ["g"], ("x", "y"), ("lo", "hi")),
+        joins.segment_at(a, b, ["g"], "x", "lo", "hi", "s"),
     ):
         out.collect()
         assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
