@@ -48,6 +48,38 @@ def exact_quantile(df: DataFrame, value: str, q: float, hold: int = 200_000) ->
     return one + (other - one) * (rank - first)
 
 
+def fused(a: Column, b: Column, c: Column) -> Column:
+    """a * b + c rounded once, from the exact error of the product and of the sum; plain where the split would overflow."""
+    head = lambda x: x * 134217729.0 - (x * 134217729.0 - x)
+    ah, bh, p = head(a), head(b), a * b
+    al, bl = a - ah, b - bh
+    low = ((ah * bh - p) + ah * bl + al * bh) + al * bl
+    s = p + c
+    rest = (p - (s - (s - p))) + (c - (s - p))
+    exact = s + (rest + low)
+    return F.when(F.isnan(exact) | F.abs(exact).isin(math.inf), s).otherwise(exact)
+
+
+def quantile_by(rows: DataFrame, by: list[str], value: str, q: float, name: str) -> DataFrame:
+    """by, name: the interpolated quantile of each group (NULL left out), to the last bit that of SQL, where low * (1 - d) + high * d is fused.
+
+    F.percentile rounds once more, which shows where the result is rounded or compared. A group is sorted by one task, which spills.
+    """
+    known = rows.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("__v"))
+    ranked = known.withColumn("__r", F.row_number().over(Window.partitionBy(*by).orderBy("__v")) - 1)
+    at = known.groupBy(*by).agg(((F.count("*") - 1) * F.lit(q)).alias("__at"))
+    near = ranked.join(at.hint("merge"), by).filter((F.col("__r") == F.floor("__at")) | (F.col("__r") == F.ceil("__at")))
+    ends = near.groupBy(*by).agg(F.min("__v").alias("__low"), F.max("__v").alias("__high"), F.first(F.col("__at") - F.floor("__at")).alias("__d"))
+    d = F.col("__d")
+    between = F.when(d == 0, F.col("__low")).otherwise(fused(F.col("__low"), 1.0 - d, F.col("__high") * d))
+    return ends.select(*by, between.alias(name))
+
+
+def round_scaled(c: Column, digits: int) -> Column:
+    """Rounded as SQL rounds doubles: the scaled number half away from zero; F.round takes the shortest decimal of the number itself."""
+    return F.round(c * 10.0**digits, 0) / 10.0**digits
+
+
 def index_by(units: DataFrame, keys: list[str], members: list[str], order: list[str]) -> DataFrame:
     """keys with the ordered list of their members (for small groups; large ones stay rows)."""
     return units.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*order, *[m for m in members if m not in order]))).alias("members"))

@@ -47,3 +47,27 @@ def test_other_queries_run(spark, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries()) >= set(QUERIES)
+
+
+def held_against_sql(spark, name, folder, events):
+    """The query and its SQL on events of one's own: (user_id, seconds, value)."""
+    import pandas as pd
+
+    frame = pd.DataFrame([(n, u, "view", v, pd.Timestamp("2024-01-01") + pd.Timedelta(seconds=s)) for n, (u, s, v) in enumerate(events)], columns=["event_id", "user_id", "event_type", "value", "ts"])
+    c = duckdb.connect()
+    c.execute(f"copy (select * replace (ts::timestamp as ts) from frame) to '{folder}/events.parquet'")
+    c.execute(f"create view events as select * from '{folder}/events.parquet'")
+    found = c.execute(ORACLE_SQL[name])
+    theirs = [x[0] for x in found.description]
+    want = sorted(tuple(plain(v) for v in r) for r in found.fetchall())
+    return sorted(tuple(plain(r[x]) for x in theirs) for r in QUERIES[name](spark, str(folder)).collect()), want
+
+
+def test_low_runs_at_values_on_the_threshold(spark, tmp_path):
+    """Values of two digits lie on a threshold of three rounded digits, where the last bit of the quantile decides."""
+    import random
+
+    r = random.Random(7)
+    rows = [(u, 60 * k, round(10.7 + r.random() * 0.05 if r.random() < 0.25 else 15.9 + r.random() * 0.4, 2)) for u in range(4000) for k in range(30 + u % 83)]
+    ours, want = held_against_sql(spark, "low_run_boundaries", tmp_path, rows)
+    assert ours == want
