@@ -513,3 +513,20 @@ def test_sides_copied_to_levels_are_not_broadcast(spark):
     ):
         out.collect()
         assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_counted_tiers_meet_no_units(spark):
+    """Counts by key agree with the pairs, and no step makes a row for each pair of a target and a unit."""
+    r = random.Random(6)
+    targets = frame(spark, [(n, r.choice([*"abcd", None]), r.choice(["x", "y", "z"])) for n in range(60)], "k int, f string, g string")
+    units = frame(spark, [(r.randint(50, 90), r.choice([*"ab", None]), r.choice(["x", "y"]), r.randint(1, 3)) for _ in range(50)], "k int, f string, g string, n int")
+    keys = ["k", "f", "g"]
+    found = ranking.tiered_counts(targets, units, keys, "n", "total")
+    pairs = ranking.tiered_candidates(targets.fillna("?"), units, keys).groupBy("k", "tier").agg(F.sum("n").alias("total"))
+    placed = ranking.resolve_tiers(targets.fillna("?"), units, keys).select("k", "tier")
+    want = placed.join(pairs, ["k", "tier"], "left").fillna(0)
+    assert got(found.select("k", "tier", "total")) == got(want)
+    from loomline.plans.queries import QUERIES
+
+    plan = QUERIES["tiered_candidates"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftOuter") == len(keys) and "Union" not in plan
