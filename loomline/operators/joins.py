@@ -1,8 +1,8 @@
 """Interval, nearest and ledger joins without nested loops.
 
 Intervals are put into levels by length: level k has buckets of width 2**k, and an interval of that level touches two at
-most. A point, or a shorter interval, looks at the buckets of every level that occurs; there are as many levels as powers of
-two between the shortest and longest interval. So both sides meet in an equi-join that shuffles and splits like any other, and no
+most. Levels that occur are drawn together by threes, from the longest down, so a bucket is at most four times as wide as its
+interval's own would be. A point, or a shorter interval, looks at the buckets of every level left. So both sides meet in an equi-join that shuffles and splits like any other, and no
 interval is copied more than twice by level, however long.
 
 Sides that were copied to levels are never broadcast: Spark judges them by their files, which know nothing of the copies.
@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SHORTEST = -20
+TOGETHER = 3
 
 
 def _level(start: str, end: str) -> Column:
@@ -29,15 +30,28 @@ def levels_of(intervals: DataFrame, start: str, end: str) -> list[int]:
     return sorted(r[0] for r in intervals.filter(F.col(start).isNotNull() & F.col(end).isNotNull()).select(_level(start, end).alias("l")).distinct().collect())
 
 
+def drawn_together(levels: list[int]) -> list[int]:
+    """The levels that stay: the longest, then the longest that is ``TOGETHER`` or more below the last one taken."""
+    kept: list[int] = []
+    for l in sorted(levels, reverse=True):
+        if not kept or l <= kept[-1] - TOGETHER:
+            kept.append(l)
+    return kept[::-1]
+
+
+def _kept_level(start: str, end: str, kept: list[int]) -> Column:
+    """The shortest kept level that is no shorter than the interval's own."""
+    own = _level(start, end)
+    return F.coalesce(*(F.when(own <= l, F.lit(l)) for l in kept))
+
+
 def points_in_intervals(points: DataFrame, intervals: DataFrame, by: list[str], at: str, start: str, end: str, closed: bool = False, how: str = "inner") -> DataFrame:
     """Each point with each interval of its group that holds it: start <= at < end, or <= end if closed.
 
     how: inner or left. Other column names of both sides must differ.
     """
-    levels = levels_of(intervals, start, end)
-    if not levels:
-        levels = [0]
-    placed = intervals.withColumn("__l", _level(start, end)).withColumn("__b", F.explode(F.sequence(_bucket(F.col(start), F.col("__l")), _bucket(F.col(end), F.col("__l")))))
+    levels = drawn_together(levels_of(intervals, start, end)) or [0]
+    placed = intervals.withColumn("__l", _kept_level(start, end, levels)).withColumn("__b", F.explode(F.sequence(_bucket(F.col(start), F.col("__l")), _bucket(F.col(end), F.col("__l")))))
     asked = points.withColumn("__id", F.monotonically_increasing_id()) if how == "left" else points
     probed = asked.withColumn("__l", F.explode(F.array(*map(F.lit, levels)))).withColumn("__b", _bucket(F.col(at), F.col("__l")))
     within = (F.col(at) >= F.col(start)) & ((F.col(at) <= F.col(end)) if closed else (F.col(at) < F.col(end)))
@@ -60,15 +74,19 @@ def sharing_buckets(left: DataFrame, right: DataFrame, by: list[str], a: tuple[s
         first, last = _bucket(F.col(span[0]), F.col("__l")), _bucket(F.col(span[1]), F.col("__l"))
         return side.withColumn(f"__first_{tag}", first).withColumn("__b", F.explode(F.sequence(first, last)))
 
+    found = levels_of(left, *a), levels_of(right, *b)
+    kept = drawn_together([*found[0], *found[1]]) or [0]
+    lefts, rights = (sorted({min(l for l in kept if l >= x) for x in side}) or [0] for side in found)
+
     def own(side: DataFrame, span: tuple[str, str], tag: str) -> DataFrame:
-        return buckets(side.withColumn("__l", _level(*span)), span, tag)
+        return buckets(side.withColumn("__l", _kept_level(*span, kept)), span, tag)
 
     def below(side: DataFrame, span: tuple[str, str], tag: str, levels: list[int], equal: bool) -> DataFrame:
         reach = F.filter(F.array(*map(F.lit, levels)), lambda x: (x >= F.col("__own")) if equal else (x > F.col("__own")))
-        return buckets(side.withColumn("__own", _level(*span)).withColumn("__l", F.explode(reach)).drop("__own"), span, tag)
+        return buckets(side.withColumn("__own", _kept_level(*span, kept)).withColumn("__l", F.explode(reach)).drop("__own"), span, tag)
 
-    longer = own(left, a, "x").join(below(right, b, "y", levels_of(left, *a) or [0], True).hint("merge"), [*by, "__l", "__b"])
-    return longer.unionByName(below(left, a, "x", levels_of(right, *b) or [0], False).join(own(right, b, "y").hint("merge"), [*by, "__l", "__b"]))
+    longer = own(left, a, "x").join(below(right, b, "y", lefts, True).hint("merge"), [*by, "__l", "__b"])
+    return longer.unionByName(below(left, a, "x", rights, False).join(own(right, b, "y").hint("merge"), [*by, "__l", "__b"]))
 
 
 def overlapping(left: DataFrame, right: DataFrame, by: list[str], a: tuple[str, str], b: tuple[str, str]) -> DataFrame:

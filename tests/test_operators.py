@@ -530,3 +530,18 @@ def test_counted_tiers_meet_no_units(spark):
 
     plan = QUERIES["tiered_candidates"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join LeftOuter") == len(keys) and "Union" not in plan
+
+
+def test_probes_of_a_point_grow_slower_than_the_levels(spark):
+    """Intervals of twenty powers of two: a point is copied to seven of them, and every pair is still found once."""
+    assert joins.drawn_together(list(range(20))) == [1, 4, 7, 10, 13, 16, 19] and joins.drawn_together([-12, 0, 1, 2, 9]) == [-12, 2, 9]
+    r = random.Random(8)
+    spans = [(0, n, s := r.uniform(-50, 50), s + 2.0 ** (n % 20 - 9) * r.uniform(0.5, 1)) for n in range(120)]
+    points = [(0, n, s := r.uniform(-60, 60), s + 2.0 ** (n % 17 - 9)) for n in range(120)]
+    a, b = frame(spark, points, "g int, p int, x double, y double"), frame(spark, spans, "g int, s int, lo double, hi double")
+    out = joins.points_in_intervals(a, b, ["g"], "x", "lo", "hi")
+    assert got(out.select("p", "s")) == sorted(((p, s) for _, p, x, _ in points for _, s, lo, hi in spans if lo <= x < hi), key=repr)
+    probes = str(out._jdf.queryExecution().optimizedPlan().toString()).split("explode([")[1].split("]")[0]
+    assert len(probes.split(",")) <= 8
+    both = joins.overlapping(a, b, ["g"], ("x", "y"), ("lo", "hi"))
+    assert got(both.select("p", "s")) == sorted(((p, s) for _, p, x, y in points for _, s, lo, hi in spans if x < hi and lo < y), key=repr)
